@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("_id", "vec_id")
+
+
+def op3_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find, joined
+
+    found = find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    n = [count(kind).alias(f"n_{kind}") for kind in BASE]
+    return found.select(F.col("_id").alias("doc_id"), *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -42,5 +57,5 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op5_binary_packing, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op10_quality_trees)}
 SQL: dict[str, str] = {}
