@@ -49,6 +49,12 @@ def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import COUNTS, QualityRules, statistics
 
@@ -57,5 +63,5 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op8_ngram_jaccard, op10_quality_trees)}
 SQL: dict[str, str] = {}
