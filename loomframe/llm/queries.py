@@ -55,6 +55,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
 
 
+def op9_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    pages = extract(table(spark, sf_dir, "pages"))
+    return pages.select(F.col("_id").alias("page_id"), F.col("_url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import COUNTS, QualityRules, statistics
 
@@ -63,5 +70,5 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op8_ngram_jaccard, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
 SQL: dict[str, str] = {}
