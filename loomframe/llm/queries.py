@@ -49,6 +49,15 @@ def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each text as count and checksum, and whether decoding them gives the text back."""
+    from .piece_codec import decode, encode
+
+    done = decode(encode(table(spark, sf_dir, "documents")))
+    same = F.col("decoded") == F.translate("_text", "\u2581", " ")
+    return done.select(F.col("_id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), same.alias("round_trip"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -70,5 +79,5 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
 SQL: dict[str, str] = {}
