@@ -14,6 +14,14 @@ def op1_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("_id", "vec_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import deduplicate
+
+    done = deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return done.select(F.col("_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find, joined
 
@@ -79,5 +87,5 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_pq, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op2_suffix_dedup, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
 SQL: dict[str, str] = {}
