@@ -66,6 +66,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("_id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), same.alias("round_trip"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_mixing import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -87,5 +93,5 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_pq, op2_suffix_dedup, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op2_suffix_dedup, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op7_context_mixing, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
 SQL: dict[str, str] = {}
