@@ -356,11 +356,16 @@ def _merged(spans: list, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
+def _unique(rows: DataFrame) -> DataFrame:
+    """One text for each id: the one that sorts first, where ids repeat."""
+    if rows.groupBy("_id").count().where("count > 1").limit(1).count():
+        return cut(rows.groupBy("_id").agg(F.min("_text").alias("_text")))
+    return rows
+
+
 def deduplicate(docs: DataFrame, *, id_col="doc_id", text_col="text", n=100, **options) -> DataFrame:
     """_id, n_bytes, spans (removed runs, maximal, of bytes) and kept (the remaining bytes) of each distinct id."""
-    rows = id_text(docs, id_col, text_col).where("_id IS NOT NULL")
-    if rows.groupBy("_id").count().where("count > 1").limit(1).count():
-        rows = cut(rows.groupBy("_id").agg(F.min("_text").alias("_text")))
+    rows = _unique(id_text(docs, id_col, text_col).where("_id IS NOT NULL"))
     spans = repeated_spans(rows, n=n, **options).groupBy("_doc").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
@@ -371,12 +376,38 @@ def deduplicate(docs: DataFrame, *, id_col="doc_id", text_col="text", n=100, **o
             for i, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 gone = _merged([(x["_low"], x["_high"]) for x in found or ()], len(data))
-                at, kept = 0, []
-                for a, b in gone:
-                    kept.append(data[at:a])
-                    at = b
-                out.append((i, len(data), [{"start": a, "end": b} for a, b in gone], b"".join([*kept, data[at:]])))
+                out.append((i, len(data), [{"start": a, "end": b} for a, b in gone], _without(data, gone)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     whole = rows.join(spans, rows["_id"] == spans["_doc"], "left").select("_id", "_text", "_spans")
     return whole.mapInArrow(run, "_id long, n_bytes long, spans array<struct<start: bigint, `end`: bigint>>, kept binary")
+
+
+def _without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
+    at, kept = 0, []
+    for a, b in gone:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]])
+
+
+def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", n=100, **options) -> DataFrame:
+    """The documents, all columns as they were but the text, which loses its removed bytes (and what is left of a cut
+    character).  Rows with a null id, a null text, or another text than the first of their id stay as they are."""
+    rows = _unique(id_text(docs, id_col, text_col).where("_id IS NOT NULL"))
+    spans = repeated_spans(rows, n=n, **options).groupBy("_doc").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans"))
+    spans = spans.join(rows.select(F.col("_id").alias("_doc"), F.xxhash64("_text").alias("_key")), "_doc")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    whole = whole.join(spans, (whole["_id"] == spans["_doc"]) & (F.xxhash64(whole["_text"]) == spans["_key"]), "left")
+
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for text, spans_ in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            out.append(_without(data, _merged([(x["_low"], x["_high"]) for x in spans_], len(data))).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
+
+    text = F.when(F.col("_spans").isNotNull() & F.col("_text").isNotNull(), cleaned(F.coalesce("_text", F.lit("")), F.coalesce("_spans", F.array().cast("array<struct<_low:bigint,_high:bigint>>")))).otherwise(F.col("_text"))
+    done = whole.withColumn("_clean", text)
+    return done.select(*(F.col("_clean").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))
