@@ -10,6 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 INF = float("inf")
 
@@ -92,7 +93,7 @@ def round_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c.cast("double"), digits)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _round(values: pa.Array, digits: pa.Array) -> pa.Array:
     return pa.array([None if v is None else v if v in (INF, -INF) else float(round(v, d)) for v, d in zip(values.to_pylist(), digits.to_pylist(), strict=True)], pa.float64())
 
@@ -102,7 +103,7 @@ def round_exact(c: Column, digits: int = 0) -> Column:
     return _round(number(c), F.lit(digits))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _signif(values: pa.Array, digits: pa.Array) -> pa.Array:
     return pa.array([None if v is None else v if v in (INF, -INF) else float(f"%.{max(d, 1) - 1}e" % v) for v, d in zip(values.to_pylist(), digits.to_pylist(), strict=True)], pa.float64())
 

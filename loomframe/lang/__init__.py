@@ -1,0 +1,5 @@
+"""A small R-like expression language that compiles to Spark plans."""
+
+from .evaluate import Session, evaluate
+
+__all__ = ["Session", "evaluate"]

@@ -1,0 +1,674 @@
+"""Syntax trees to plans: scalars are Python numbers, frames are DataFrames with a row order, functions are closures.
+
+Columns of frames that stem from one frame are combined as expressions of one projection; nothing runs until a scalar
+or a result is asked for.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import arithmetic as A
+from ..functions import binning, dates, text
+from ..operators import groups, reduce
+from ..operators.frame import with_rows
+from .parser import Node, ParseError, parse
+
+NA = float("nan")
+
+
+@dataclass
+class Frame:
+    """A source with an order, and named expressions over it."""
+
+    source: DataFrame
+    order: tuple[str, ...]
+    cols: dict[str, Column]
+    factors: frozenset = frozenset()
+    where: Column | None = None
+
+    def df(self) -> DataFrame:
+        base = self.source if self.where is None else self.source.where(self.where)
+        return base.select(*(c.alias(n) for n, c in self.cols.items()))
+
+    def ordered(self) -> DataFrame:
+        base = self.source if self.where is None else self.source.where(self.where)
+        return base.select(*(c.alias(n) for n, c in self.cols.items()), *(F.col(f"`{o}`").alias(f"_o{i}") for i, o in enumerate(self.order)))
+
+    def with_cols(self, cols: dict[str, Column], factors: frozenset = frozenset()) -> Frame:
+        return Frame(self.source, self.order, cols, factors, self.where)
+
+    @staticmethod
+    def of(df: DataFrame, order: Sequence[str]) -> Frame:
+        cols = {}
+        for f in df.schema.fields:
+            c = F.col(f"`{f.name}`")
+            cols[f.name] = A.number(c) if f.dataType.typeName() in ("double", "float") else c
+        return Frame(df, tuple(order), cols, frozenset(f.name for f in df.schema.fields if f.dataType.typeName() == "string"))
+
+
+@dataclass
+class Closure:
+    names: tuple[str, ...]
+    body: Node
+    scope: dict
+
+
+@dataclass
+class Session:
+    """Names of frames, numbers and functions; every frame needs its order columns."""
+
+    names: dict = field(default_factory=dict)
+
+    def put(self, name: str, df: DataFrame, order: Sequence[str]) -> None:
+        self.names[name] = Frame.of(df, order)
+
+    def run(self, source: str):
+        """The value of the last statement: a number, a text, a DataFrame or a function."""
+        out = Evaluator(source).block(parse(source), self.names)
+        return out.df() if isinstance(out, Frame) else out
+
+    def ls(self) -> list[str]:
+        return sorted(self.names)
+
+    def remove(self, *names: str) -> None:
+        for n in names:
+            self.names.pop(n, None)
+
+
+def evaluate(source: str, **frames: tuple[DataFrame, Sequence[str]]):
+    s = Session()
+    for name, (df, order) in frames.items():
+        s.put(name, df, order)
+    return s.run(source)
+
+
+CONSTANTS = {"TRUE": 1.0, "T": 1.0, "FALSE": 0.0, "F": 0.0, "NA": NA, "NaN": NA, "Inf": math.inf, "pi": math.pi, "e": math.e}
+
+
+def _scalar_binary(op: str, a, b):
+    if isinstance(a, str) or isinstance(b, str):
+        return {"==": float(a == b), "!=": float(a != b)}[op]
+    if op in ("&&", "&"):
+        return 0.0 if a == 0 or b == 0 else NA if math.isnan(a) or math.isnan(b) else 1.0
+    if op in ("||", "|"):
+        return 1.0 if a not in (0,) and not math.isnan(a) or b not in (0,) and not math.isnan(b) else NA if math.isnan(a) or math.isnan(b) else 0.0
+    if math.isnan(a) or math.isnan(b):
+        return NA
+    if op == "/":
+        return a / b if b else NA if not a else math.copysign(math.inf, a)
+    if op == "%%":
+        return math.fmod(a, b) if b and not math.isinf(a) else NA
+    if op == "%/%":
+        return float(math.floor(a / b)) if b else NA if not a else math.copysign(math.inf, a)
+    if op == "^":
+        try:
+            return float(a**b) if not (a < 0 and b != int(b)) else NA
+        except (OverflowError, ZeroDivisionError):
+            return math.inf
+    close = a == b or abs(a - b) <= max(math.ulp(a), math.ulp(b)) if not (math.isinf(a) or math.isinf(b)) else a == b
+    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "<": lambda: float(a < b and not close), ">": lambda: float(a > b and not close), "<=": lambda: float(a < b or close), ">=": lambda: float(a > b or close), "==": lambda: float(close), "!=": lambda: float(not close)}[op]()
+
+
+def _column_binary(op: str, a: Column, b: Column) -> Column:
+    if op in ("==", "!=", "<", ">", "<=", ">="):
+        return A.compare(a, op, b)
+    if op in ("&", "&&"):
+        return A.and_(a, b)
+    if op in ("|", "||"):
+        return A.or_(a, b)
+    x, y = a.cast("double"), b.cast("double")
+    return {"+": lambda: A.number(x + y), "-": lambda: A.number(x - y), "*": lambda: A.number(x * y), "/": lambda: A.divide(x, y), "^": lambda: A.power(x, y), "%%": lambda: A.remainder(x, y), "%/%": lambda: A.int_divide(x, y)}[op]()
+
+
+REDUCERS = {"sum": ("sum", False), "min": ("min", False), "max": ("max", False), "sum.na.rm": ("sum", True), "min.na.rm": ("min", True), "max.na.rm": ("max", True)}
+
+
+class Evaluator:
+    def __init__(self, source: str):
+        self.source = source
+
+    def fail(self, message: str, node: Node):
+        raise ParseError(message, self.source, node.at)
+
+    def block(self, node: Node, scope: dict):
+        out = 0.0
+        for statement in node.args:
+            out = self.value(statement, scope)
+        return out
+
+    def value(self, node: Node, scope: dict):
+        return getattr(self, f"_{node.kind}")(node, scope)
+
+    def _block(self, node, scope):
+        return self.block(node, scope)
+
+    def _num(self, node, scope):
+        return node.value
+
+    _str = _num
+
+    def _id(self, node, scope):
+        if node.value in scope:
+            return scope[node.value]
+        if node.value in CONSTANTS:
+            return CONSTANTS[node.value]
+        if node.value in A.UNARY or node.value in REDUCERS or hasattr(self, "f_" + node.value.replace(".", "_")):
+            return node.value
+        self.fail(f"unknown name {node.value}", node)
+
+    def _function(self, node, scope):
+        return Closure(node.value, node.args[0], scope)
+
+    def _unary(self, node, scope):
+        v = self.value(node.args[0], scope)
+        if isinstance(v, Frame):
+            return v.with_cols({n: A.not_(c) if node.value == "!" else -c.cast("double") if node.value == "-" else c for n, c in v.cols.items()})
+        return (float(v == 0) if node.value == "!" else -v if node.value == "-" else v)
+
+    def _binary(self, node, scope):
+        a, b = (self.value(x, scope) for x in node.args)
+        op = node.value
+        if op == ":":
+            step = 1 if b >= a else -1
+            return a if a == b else [float(x) for x in range(int(a), int(b) + step, step)]
+        if not isinstance(a, Frame) and not isinstance(b, Frame):
+            return _scalar_binary(op, a, b)
+        if op in ("&&", "||"):
+            return _scalar_binary(op, *(self.first(x) if isinstance(x, Frame) else x for x in (a, b)))
+        return self.combine(a, b, lambda x, y: _column_binary(op, x, y), op, node)
+
+    def combine(self, a, b, how, op, node) -> Frame:
+        frame = a if isinstance(a, Frame) else b
+        arithmetic = op not in ("==", "!=", "<", ">", "<=", ">=")
+        pick = lambda f, n: F.lit(None).cast("double") if arithmetic and n in f.factors else f.cols[n]
+        if isinstance(a, Frame) and isinstance(b, Frame):
+            if len(a.cols) == 1 and len(b.cols) > 1:
+                a = a.with_cols(dict.fromkeys(b.cols, next(iter(a.cols.values()))))
+                frame = b
+            elif len(b.cols) == 1 and len(a.cols) > 1:
+                b = b.with_cols(dict.fromkeys(a.cols, next(iter(b.cols.values()))))
+            if len(a.cols) != len(b.cols):
+                self.fail("frames have different numbers of columns", node)
+            if a.source is not b.source or a.where is not b.where:
+                a, b = self.align(a, b)
+            return a.with_cols({n: how(pick(a, n), pick(b, m)) for n, m in zip(a.cols, b.cols, strict=True)})
+        other = F.lit(b if isinstance(a, Frame) else a) if not isinstance((b if isinstance(a, Frame) else a), float) else self.literal(b if isinstance(a, Frame) else a)
+        return frame.with_cols({n: how(pick(frame, n), other) if isinstance(a, Frame) else how(other, pick(frame, n)) for n in frame.cols})
+
+    def literal(self, v: float) -> Column:
+        return F.lit(None).cast("double") if math.isnan(v) else F.lit(v)
+
+    def align(self, a: Frame, b: Frame) -> tuple[Frame, Frame]:
+        """Frames of different sources, matched by row."""
+        x, y = a.ordered(), b.ordered()
+        left = with_rows(x, [c for c in x.columns if c.startswith("_o")], "_row").select("_row", *(F.col(f"`{n}`").alias(f"a{i}") for i, n in enumerate(a.cols)))
+        right = with_rows(y, [c for c in y.columns if c.startswith("_o")], "_row").select("_row", *(F.col(f"`{n}`").alias(f"b{i}") for i, n in enumerate(b.cols)))
+        both = left.join(right, "_row", "full")
+        made = both.where(F.lit(True))
+        return (Frame(made, ("_row",), {n: F.col(f"a{i}") for i, n in enumerate(a.cols)}, a.factors), Frame(made, ("_row",), {n: F.col(f"b{i}") for i, n in enumerate(b.cols)}, b.factors))
+
+    def first(self, f: Frame):
+        df = f.ordered()
+        v = df.orderBy(*(c for c in df.columns if c.startswith("_o"))).select(F.col(df.columns[0]).cast("double")).first()
+        return NA if v is None or v[0] is None else v[0]
+
+    def _column(self, node, scope):
+        f = self.value(node.args[0], scope)
+        if node.value not in f.cols:
+            self.fail(f"missing column {node.value}", node)
+        return f.with_cols({node.value: f.cols[node.value]}, f.factors & {node.value})
+
+    def columns_of(self, f: Frame, which, node) -> list[str]:
+        names = list(f.cols)
+        if which is None:
+            return names
+        if isinstance(which, str):
+            return [which]
+        places = [int(x) for x in (which if isinstance(which, list) else [which])]
+        if all(p < 0 for p in places):
+            return [n for i, n in enumerate(names, 1) if -i not in places]
+        if any(not 1 <= p <= len(names) for p in places if p):
+            self.fail(f"column out of range 1..{len(names)}", node)
+        return [names[p - 1] for p in places if p]
+
+    def _index(self, node, scope):
+        f = self.value(node.args[0], scope)
+        if isinstance(f, list):
+            return f[int(self.value(node.args[1], scope)) - 1]
+        which = [None if x is None else self.value(x, scope) for x in node.args[1:]]
+        if len(which) == 1:
+            which = [None, which[0]]
+        rows, cols = which
+        names = self.columns_of(f, cols, node)
+        out = f.with_cols({n: f.cols[n] for n in names}, f.factors & set(names))
+        if rows is None:
+            return out
+        if isinstance(rows, Frame):
+            test = next(iter(rows.cols.values())).cast("double")
+            if rows.source is not f.source:
+                self.fail("the row filter comes from another frame", node)
+            keep = test.isNull() | (test != 0)
+            return Frame(f.source, f.order, out.cols, out.factors, keep if f.where is None else f.where & keep)
+        places = [int(x) for x in (rows if isinstance(rows, list) else [rows])]
+        df = out.ordered()
+        order = [c for c in df.columns if c.startswith("_o")]
+        numbered = with_rows(df, order, "_row")
+        if len(places) == 1 and places[0] > 0 and len(names) == 1:
+            got = numbered.where(F.col("_row") == places[0]).select(f"`{names[0]}`").first()
+            if got is None:
+                self.fail("row out of range", node)
+            return NA if got[0] is None else got[0] if isinstance(got[0], str) else float(got[0])
+        if all(p < 0 for p in places):
+            chosen = numbered.where(~F.col("_row").isin([-p for p in places]))
+            return Frame(chosen, ("_row",), {n: F.col(f"`{n}`") for n in names}, out.factors)
+        wanted = df.sparkSession.createDataFrame([(i, p) for i, p in enumerate(places) if p], "_at long, _row long")
+        return Frame(wanted.join(numbered, "_row", "left"), ("_at",), {n: F.col(f"`{n}`") for n in names}, out.factors)
+
+    def _assign(self, node, scope):
+        target, value = node.args[0], self.value(node.args[1], scope)
+        if target.kind == "id":
+            scope[target.value] = value
+            return value
+        name_node = target.args[0]
+        if name_node.kind != "id":
+            self.fail("cannot assign to this", node)
+        f = scope[name_node.value]
+        if target.kind == "column":
+            names, rows = [target.value], None
+        else:
+            which = [None if x is None else self.value(x, scope) for x in target.args[1:]]
+            rows, cols = which if len(which) == 2 else (None, which[0])
+            if isinstance(cols, float) and cols == len(f.cols) + 1:
+                names = [f"C{int(cols)}"]
+            else:
+                names = self.columns_of(f, cols, node)
+        cols = dict(f.cols)
+        factors = set(f.factors)
+        if rows is None:
+            if isinstance(value, Frame):
+                if value.source is not f.source:
+                    self.fail("the columns come from another frame", node)
+                new = list(value.cols.values())
+                for i, n in enumerate(names):
+                    cols[n] = new[i % len(new)]
+                    (factors.add if value.factors else factors.discard)(n)
+            else:
+                for n in names:
+                    cols[n] = self.literal(value) if isinstance(value, float) else F.lit(value)
+                    factors.discard(n)
+            scope[name_node.value] = Frame(f.source, f.order, cols, frozenset(factors), f.where)
+            return scope[name_node.value]
+        if isinstance(value, Frame):
+            self.fail("rows can only be set to a number", node)
+        if isinstance(rows, Frame):
+            hit = next(iter(rows.cols.values())).cast("double") != 0
+            scope[name_node.value] = Frame(f.source, f.order, {n: (F.when(hit, F.lit(None) if n in factors else self.literal(value)).otherwise(c) if n in names else c) for n, c in cols.items()}, frozenset(factors), f.where)
+            return scope[name_node.value]
+        df = f.ordered()
+        numbered = with_rows(df, [c for c in df.columns if c.startswith("_o")], "_row")
+        hit = F.col("_row").isin([int(x) for x in (rows if isinstance(rows, list) else [rows])])
+        scope[name_node.value] = Frame(numbered, ("_row",), {n: (F.when(hit, F.lit(None) if n in factors else self.literal(value)).otherwise(F.col(f"`{n}`")) if n in names else F.col(f"`{n}`")) for n in cols}, frozenset(factors))
+        return scope[name_node.value]
+
+    def _call(self, node, scope):
+        name, keywords = node.value if isinstance(node.value, tuple) else (node.value, (None,) * len(node.args))
+        fun = name
+        if isinstance(name, Node):
+            fun = self.value(name, scope)
+        elif name in scope:
+            fun = scope[name]
+        args = [self.value(a, scope) for a in node.args]
+        return self.invoke(fun, args, keywords, node)
+
+    def invoke(self, fun, args, keywords, node):
+        if isinstance(fun, Closure):
+            if len(args) != len(fun.names):
+                self.fail(f"{len(fun.names)} arguments are needed", node)
+            return self.value(fun.body, {**fun.scope, **dict(zip(fun.names, args, strict=True))})
+        if fun in A.UNARY:
+            v = args[0]
+            if isinstance(v, Frame):
+                return v.with_cols({n: A.UNARY[fun](c) for n, c in v.cols.items()})
+            return self.scalar_unary(fun, v)
+        if fun in REDUCERS:
+            how, na_rm = REDUCERS[fun]
+            for a, k in zip(args, keywords, strict=False):
+                if k == "na.rm":
+                    na_rm = bool(a)
+            return self.fold(how, [a for a, k in zip(args, keywords, strict=False) if k != "na.rm"], na_rm)
+        handler = getattr(self, "f_" + str(fun).replace(".", "_"), None)
+        if handler is None:
+            self.fail(f"unknown function {fun}", node)
+        return handler(args, keywords, node)
+
+    def scalar_unary(self, fun, v):
+        if math.isnan(v):
+            return NA
+        try:
+            return float({"abs": abs, "sgn": lambda x: (x > 0) - (x < 0), "sqrt": math.sqrt, "log": lambda x: math.log(x) if x else -math.inf, "exp": math.exp, "ceil": math.ceil, "floor": math.floor, "trunc": math.trunc}.get(fun, getattr(math, fun, None))(v))
+        except (ValueError, OverflowError):
+            return NA
+
+    def fold(self, how, args, na_rm):
+        values = []
+        for a in args:
+            if isinstance(a, Frame):
+                v = reduce.fold(a.df(), how, None, na_rm)
+                values.append(NA if v is None else v)
+            elif isinstance(a, list):
+                values += a
+            else:
+                values.append(a)
+        if na_rm:
+            values = [v for v in values if not math.isnan(v)]
+        if not values or any(math.isnan(v) for v in values):
+            return 0.0 if how == "sum" and not values else NA
+        return float({"sum": sum, "min": min, "max": max}[how](values))
+
+    def single(self, f: Frame, node) -> Column:
+        if len(f.cols) != 1:
+            self.fail("one column is needed", node)
+        if f.factors:
+            self.fail("a numeric column is needed", node)
+        return next(iter(f.cols.values()))
+
+    def aggregate(self, f: Frame, how, node):
+        v = f.with_cols({"x": self.single(f, node).cast("double")}).df().agg(how(F.col("x"))).first()[0]
+        return NA if v is None else float(v)
+
+    def f_mean(self, args, keywords, node):
+        return self.aggregate(args[0], F.avg, node)
+
+    def f_sd(self, args, keywords, node):
+        return self.aggregate(args[0], F.stddev_samp, node)
+
+    def f_median(self, args, keywords, node):
+        return self.aggregate(args[0], lambda c: F.percentile(c, F.lit(0.5)), node)
+
+    def f_var(self, args, keywords, node):
+        if len(args[0].cols) == 1:
+            return self.aggregate(args[0], F.var_samp, node)
+        return Frame.of(reduce.covariance(args[0].df(), list(args[0].cols)), ("i", "j"))
+
+    def f_quantile(self, args, keywords, node):
+        probs = args[1] if isinstance(args[1], list) else [args[1]]
+        got = args[0].with_cols({"x": self.single(args[0], node).cast("double")}).df().agg(reduce.quantile(F.col("x"), probs)).first()[0]
+        return got[0] if len(got) == 1 else got
+
+    def f_mode(self, args, keywords, node):
+        f = args[0]
+        return f.with_cols({"x": next(iter(f.cols.values()))}).df().agg(reduce.mode(F.col("x"))).first()[0]
+
+    def f_nrow(self, args, keywords, node):
+        return float(args[0].df().count())
+
+    def f_ncol(self, args, keywords, node):
+        return float(len(args[0].cols))
+
+    def f_length(self, args, keywords, node):
+        if isinstance(args[0], list):
+            return float(len(args[0]))
+        return float(args[0].df().count()) if len(args[0].cols) == 1 else float(len(args[0].cols))
+
+    def f_is_na(self, args, keywords, node):
+        f = args[0]
+        return float(math.isnan(f)) if isinstance(f, float) else f.with_cols({n: A.is_na(c, n in f.factors) for n, c in f.cols.items()})
+
+    def f_any_na(self, args, keywords, node):
+        f = args[0]
+        return float(bool(f.df().agg(F.max(F.greatest(*(c.isNull() for c in map(F.col, f.cols)), F.lit(False)))).first()[0]))
+
+    def f_is_factor(self, args, keywords, node):
+        return float(bool(args[0].factors) and len(args[0].cols) == 1)
+
+    def f_any_factor(self, args, keywords, node):
+        return float(bool(args[0].factors))
+
+    def f_isTRUE(self, args, keywords, node):
+        return float(args[0] == 1)
+
+    def f_ifelse(self, args, keywords, node):
+        test, yes, no = args
+        if not isinstance(test, Frame):
+            return NA if math.isnan(test) else yes if test else no
+        out = {}
+        for i, (n, c) in enumerate(test.cols.items()):
+            side = lambda v, i=i: list(v.cols.values())[i % len(v.cols)] if isinstance(v, Frame) else self.literal(v) if isinstance(v, float) else F.lit(v)
+            for v in (yes, no):
+                if isinstance(v, Frame) and v.source is not test.source:
+                    self.fail("the sides come from another frame", node)
+            out[n] = A.if_else(c, side(yes), side(no))
+        return test.with_cols(out, frozenset(out) if isinstance(yes, str) else frozenset())
+
+    def f_round(self, args, keywords, node):
+        digits = int(args[1]) if len(args) > 1 else 0
+        if not isinstance(args[0], Frame):
+            return float(round(args[0], digits))
+        if args[0].factors:
+            self.fail("a numeric column is needed", node)
+        return args[0].with_cols({n: A.round_exact(c, digits) for n, c in args[0].cols.items()})
+
+    def f_signif(self, args, keywords, node):
+        digits = int(args[1]) if len(args) > 1 else 6
+        if not isinstance(args[0], Frame):
+            return float(f"%.{max(digits, 1) - 1}e" % args[0])
+        return args[0].with_cols({n: A.signif(c, digits) for n, c in args[0].cols.items()})
+
+    def f_c(self, args, keywords, node):
+        out = []
+        for a in args:
+            if isinstance(a, Frame):
+                df = a.ordered()
+                rows = df.orderBy(*(c for c in df.columns if c.startswith("_o"))).limit(100_000).collect()
+                out += [NA if v is None else float(v) for n in range(len(a.cols)) for v in (r[n] for r in rows)]
+            else:
+                out += a if isinstance(a, list) else [a]
+        return out
+
+    def f_cbind(self, args, keywords, node):
+        frames = [a for a in args if isinstance(a, Frame)]
+        out, factors = {}, set()
+        for i, (a, k) in enumerate(zip(args, keywords, strict=False)):
+            if isinstance(a, Frame):
+                if a.source is not frames[0].source or a.where is not frames[0].where:
+                    self.fail("frames of one source are needed", node)
+                for n, c in a.cols.items():
+                    name, j = k if k and len(a.cols) == 1 else n, 0
+                    while name in out:
+                        name, j = f"{n}{j}", j + 1
+                    out[name] = c
+                    if n in a.factors:
+                        factors.add(name)
+            else:
+                out[k or f"C{i + 1}"] = self.literal(a)
+        return frames[0].with_cols(out, frozenset(factors))
+
+    def f_rbind(self, args, keywords, node):
+        from ..operators.frame import rbind
+
+        made = rbind(*(a.ordered().withColumn("_f", F.lit(i)) for i, a in enumerate(args)))
+        names = list(args[-1].cols)
+        return Frame(made, ("_f", *(c for c in made.columns if c.startswith("_o"))), {n: F.col(f"`{n}`") for n in names}, args[-1].factors)
+
+    def f_unique(self, args, keywords, node):
+        df = args[0].df().distinct()
+        return Frame.of(df, tuple(df.columns))
+
+    def f_table(self, args, keywords, node):
+        names = [n for a in args if isinstance(a, Frame) for n in a.cols]
+        frame = args[0] if len(args) == 1 else self.f_cbind(args, (None,) * len(args), node)
+        df = reduce.table(frame.df(), *names)
+        return Frame.of(df, (df.columns[0],))
+
+    def f_which(self, args, keywords, node):
+        df = args[0].ordered()
+        rows = with_rows(df, [c for c in df.columns if c.startswith("_o")], "_row").where(F.col(df.columns[0]) == 1)
+        return Frame(rows, ("_row",), {"C1": F.col("_row").cast("double")})
+
+    def f_scale(self, args, keywords, node):
+        f = args[0]
+        stats = f.df().agg(*(x for i, n in enumerate(f.cols) if n not in f.factors for x in (F.avg(f"`{n}`").alias(f"m{i}"), F.stddev_samp(f"`{n}`").alias(f"s{i}")))).first()
+        return f.with_cols({n: c if n in f.factors else (c - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"]) for i, (n, c) in enumerate(f.cols.items())}, f.factors)
+
+    def f_cut(self, args, keywords, node):
+        f, breaks = args[0], args[1]
+        name = next(iter(f.cols))
+        if isinstance(breaks, list):
+            return f.with_cols({name: binning.cut_breaks(f.cols[name], breaks)}, frozenset([name]))
+        df = f.ordered().withColumnRenamed(name, "_x")
+        made = binning.cut_equal(df, "_x", int(breaks), name)
+        return Frame(made, tuple(c for c in made.columns if c.startswith("_o")), {name: F.col(f"`{name}`")}, frozenset([name]))
+
+    def f_findInterval(self, args, keywords, node):
+        f = args[0]
+        return f.with_cols({n: binning.find_interval(c, args[1] if isinstance(args[1], list) else [args[1]], len(args) > 2 and bool(args[2])) for n, c in f.cols.items()})
+
+    def f_seq_len(self, args, keywords, node):
+        if args[0] <= 0:
+            self.fail("a positive length is needed", node)
+        return [float(i) for i in range(1, int(args[0]) + 1)]
+
+    def f_seq(self, args, keywords, node):
+        start, stop, by = (*args, 1.0)[:3]
+        if by == 0 or (stop - start) * by < 0:
+            self.fail("wrong sign in 'by'", node)
+        return [start + i * by for i in range(int(math.floor((stop - start) / by + 1e-10)) + 1)]
+
+    def f_rep_len(self, args, keywords, node):
+        return [args[0]] * int(args[1])
+
+    def f_factor(self, args, keywords, node):
+        from ..functions.factors import factor
+
+        f = args[0]
+        return f.with_cols({n: c if n in f.factors else factor(c) for n, c in f.cols.items()}, frozenset(f.cols))
+
+    def _text(self, f: Frame, how) -> Frame:
+        return f.with_cols({n: how(c) for n, c in f.cols.items()}, f.factors)
+
+    def f_tolower(self, args, keywords, node):
+        return self._text(args[0], text.lower)
+
+    def f_toupper(self, args, keywords, node):
+        return self._text(args[0], text.upper)
+
+    def f_trim(self, args, keywords, node):
+        return self._text(args[0], text.trim)
+
+    def f_sub(self, args, keywords, node):
+        return self._text(args[2], lambda c: text.sub(args[0], args[1], c, bool(args[3:] and args[3])))
+
+    def f_gsub(self, args, keywords, node):
+        return self._text(args[2], lambda c: text.gsub(args[0], args[1], c, bool(args[3:] and args[3])))
+
+    def f_revalue(self, args, keywords, node):
+        return self._text(args[0], lambda c: text.revalue(c, args[1]))
+
+    def _part(self, args, name):
+        return args[0].with_cols({n: dates.part(c, name) for n, c in args[0].cols.items()})
+
+    def f_year(self, args, keywords, node):
+        return self._part(args, "year")
+
+    def f_month(self, args, keywords, node):
+        return self._part(args, "month")
+
+    def f_day(self, args, keywords, node):
+        return self._part(args, "day")
+
+    def f_hour(self, args, keywords, node):
+        return self._part(args, "hour")
+
+    def f_minute(self, args, keywords, node):
+        return self._part(args, "minute")
+
+    def f_second(self, args, keywords, node):
+        return self._part(args, "second")
+
+    def f_as_Date(self, args, keywords, node):
+        return args[0].with_cols({n: dates.as_date(c, args[1]) for n, c in args[0].cols.items()})
+
+    def group_aggregate(self, fun, f: Frame, node) -> list[Column]:
+        """A closure's body over a group, as aggregates: reducers of columns, arithmetic of those, c() and cbind()."""
+        body, scope = fun.body, {**fun.scope, fun.names[0]: f}
+
+        def cell(x: Node) -> Column:
+            if x.kind == "block" and len(x.args) == 1:
+                return cell(x.args[0])
+            if x.kind == "num":
+                return F.lit(x.value)
+            if x.kind == "binary" and x.value not in (":",):
+                return _column_binary(x.value, cell(x.args[0]), cell(x.args[1]))
+            if x.kind == "unary":
+                return -cell(x.args[0])
+            if x.kind == "call" and isinstance(x.value, tuple):
+                name = x.value[0]
+                if name == "nrow":
+                    return F.count("*")
+                over = self.value(x.args[0], scope)
+                column = next(iter(over.cols.values()))
+                how = {"sum": lambda c: reduce.total(c), "sum.na.rm": lambda c: reduce.total(c, True), "min": lambda c: reduce.least(c), "max": lambda c: reduce.greatest(c), "min.na.rm": F.min, "max.na.rm": F.max, "mean": F.avg, "sd": F.stddev_samp, "var": F.var_samp, "median": lambda c: F.percentile(c, F.lit(0.5)), "mode": reduce.mode}
+                if name in how:
+                    return how[name](column)
+            self.fail("this cannot be computed per group", x)
+
+        x = body
+        while x.kind == "block" and len(x.args) == 1:
+            x = x.args[0]
+        parts = x.args if x.kind == "call" and isinstance(x.value, tuple) and x.value[0] in ("c", "cbind") else (x,)
+        return [cell(p) for p in parts]
+
+    def f_ddply(self, args, keywords, node):
+        f, by, fun = args
+        keys = self.columns_of(f, by, node)
+        aggs = self.group_aggregate(fun, f, node) if isinstance(fun, Closure) else [F.count("*") if fun == "nrow" else getattr(F, {"sd": "stddev_samp", "mean": "avg"}.get(fun, fun))(c) for n, c in f.cols.items() if n not in keys and n not in f.factors]
+        base = f.source if f.where is None else f.source.where(f.where)
+        out = base.groupBy(*(f.cols[k].alias(k) for k in keys)).agg(*(a.alias(f"C{i + 1}") for i, a in enumerate(aggs))).dropna()
+        return Frame.of(out, tuple(keys))
+
+    def f_apply(self, args, keywords, node):
+        f, way, fun = args
+        if way == 1:
+            if isinstance(fun, str) and fun in ("sum", "mean", "min", "max"):
+                df = groups.apply_rows(f.ordered(), fun, list(f.cols))
+                return Frame(df, tuple(c for c in df.columns if c.startswith("_o")), {"C1": F.col("C1")})
+            row = [f.with_cols({"C1": c}) for c in f.cols.values()]
+            if isinstance(fun, Closure) and len(fun.names) == 1:
+                return self.row_closure(fun, row, node)
+            self.fail("this cannot be computed per row", node)
+        out = [self.invoke(fun, [f.with_cols({n: c}, f.factors & {n})], (None,), node) for n, c in f.cols.items()]
+        if all(isinstance(o, float) for o in out):
+            return out[0] if len(out) == 1 else out
+        return self.f_cbind(out, (None,) * len(out), node)
+
+    def row_closure(self, fun: Closure, row: list[Frame], node) -> Frame:
+        total = row[0]
+        body = fun.body
+        while body.kind == "block" and len(body.args) == 1:
+            body = body.args[0]
+        if body.kind == "call" and isinstance(body.value, tuple) and body.value[0] in ("sum", "mean", "min", "max") and body.args[0].kind == "id":
+            xs = [next(iter(r.cols.values())).cast("double") for r in row]
+            how = body.value[0]
+            made = xs[0]
+            for x in xs[1:]:
+                made = made + x if how in ("sum", "mean") else F.least(made, x) if how == "min" else F.greatest(made, x)
+            some = xs[0].isNull()
+            for x in xs[1:]:
+                some = some | x.isNull()
+            return total.with_cols({"C1": F.when(~some, made / len(xs) if how == "mean" else made)})
+        made = [self.value(fun.body, {**fun.scope, fun.names[0]: r}) for r in row]
+        return self.f_cbind([Frame(m.source, m.order, {f"C{i + 1}": next(iter(m.cols.values()))}, m.factors, m.where) for i, m in enumerate(made)], (None,) * len(made), node)
+
+    def f_sapply(self, args, keywords, node):
+        return self.f_apply([args[0], 2.0, args[1]], keywords, node)
+
+    def f_print(self, args, keywords, node):
+        v = args[0]
+        v.df().show() if isinstance(v, Frame) else print(v)
+        return v

@@ -1,0 +1,191 @@
+"""Text to a syntax tree, by precedence climbing."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+
+class ParseError(ValueError):
+    """With the text and a caret under the place."""
+
+    def __init__(self, message: str, text: str, at: int):
+        super().__init__(f"{message}\n{text}\n{' ' * at}^")
+        self.at = at
+
+
+@dataclass(frozen=True)
+class Node:
+    kind: str
+    value: object = None
+    args: tuple = ()
+    at: int = 0
+
+
+TOKENS = re.compile(r"\s*(?:(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<str>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<op><-|==|!=|<=|>=|&&|\|\||%/%|%%|%\*%|\*\*|[-+*/^%<>=!&|?:$,;()\[\]{}])|(?P<id>[A-Za-z_.][A-Za-z0-9_.]*))")
+#: Binary operators by how tightly they bind; ^ and ** bind to the right.
+BINDING = {"||": 1, "|": 1, "&&": 2, "&": 2, "==": 4, "!=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 7, "%%": 7, "%/%": 7, "%*%": 7, ":": 8, "^": 10, "**": 10}
+
+
+class Parser:
+    def __init__(self, text: str):
+        self.text, self.tokens, at = text, [], 0
+        stripped = text.rstrip()
+        while at < len(stripped):
+            m = TOKENS.match(stripped, at)
+            if not m:
+                where = at + len(stripped[at:]) - len(stripped[at:].lstrip())
+                raise ParseError("unknown sign", text, where)
+            kind = m.lastgroup
+            self.tokens.append((kind, m.group(kind), m.start(kind)))
+            at = m.end()
+        self.i = 0
+
+    def peek(self, k: int = 0) -> str | None:
+        return self.tokens[self.i + k][1] if self.i + k < len(self.tokens) and self.tokens[self.i + k][0] != "str" else ("'" if self.i + k < len(self.tokens) else None)
+
+    def at(self) -> int:
+        return self.tokens[self.i][2] if self.i < len(self.tokens) else len(self.text)
+
+    def take(self, want: str | None = None) -> tuple:
+        if self.i >= len(self.tokens):
+            raise ParseError(f"expected {want or 'more'}", self.text, len(self.text))
+        t = self.tokens[self.i]
+        if want is not None and (t[0] == "str" or t[1] != want):
+            raise ParseError(f"expected {want}", self.text, t[2])
+        self.i += 1
+        return t
+
+    def program(self) -> Node:
+        out = []
+        while self.i < len(self.tokens):
+            out.append(self.statement())
+            while self.peek() == ";":
+                self.take()
+        return Node("block", args=tuple(out))
+
+    def statement(self) -> Node:
+        left = self.ternary()
+        if self.peek() in ("=", "<-"):
+            if left.kind not in ("id", "index", "column"):
+                raise ParseError("cannot assign to this", self.text, left.at)
+            self.take()
+            return Node("assign", args=(left, self.statement()), at=left.at)
+        return left
+
+    def ternary(self) -> Node:
+        test = self.binary(0)
+        if self.peek() == "?":
+            at = self.take()[2]
+            yes = self.ternary()
+            self.take(":")
+            return Node("call", "ifelse", (test, yes, self.ternary()), at)
+        return test
+
+    def binary(self, least: int, colon: bool = True) -> Node:
+        left = self.unary()
+        while (op := self.peek()) in BINDING and BINDING[op] >= least:
+            if op == ":" and self._in_ternary():
+                break
+            at = self.take()[2]
+            right = self.binary(BINDING[op] + (op not in ("^", "**")))
+            left = Node("binary", "^" if op == "**" else "%%" if op == "%" else op, (left, right), at)
+        return left
+
+    def _in_ternary(self) -> bool:
+        """Whether a ? before this place waits for its colon."""
+        depth = 0
+        for k in range(self.i - 1, -1, -1):
+            t = self.tokens[k][1] if self.tokens[k][0] == "op" else None
+            if t in (")", "]", "}"):
+                depth += 1
+            elif t in ("(", "[", "{"):
+                if not depth:
+                    return False
+                depth -= 1
+            elif not depth and t == "?":
+                return not any(x[1] == ":" for x in self.tokens[k : self.i] if x[0] == "op")
+        return False
+
+    def unary(self) -> Node:
+        if (op := self.peek()) in ("-", "+", "!"):
+            at = self.take()[2]
+            return Node("unary", op, (self.binary(9 if op != "!" else 3),), at)
+        return self.postfix(self.atom())
+
+    def atom(self) -> Node:
+        kind, value, at = self.take()
+        if kind == "num":
+            return Node("num", float(value), at=at)
+        if kind == "str":
+            return Node("str", re.sub(r"\\(.)", r"\1", value[1:-1]), at=at)
+        if value == "(":
+            inner = self.statement()
+            self.take(")")
+            return inner
+        if value == "{":
+            out = []
+            while self.peek() != "}":
+                out.append(self.statement())
+                while self.peek() == ";":
+                    self.take()
+            self.take("}")
+            return Node("block", args=tuple(out), at=at)
+        if value == "function":
+            self.take("(")
+            names = []
+            while self.peek() != ")":
+                names.append(self.take()[1])
+                if self.peek() == ",":
+                    self.take()
+            self.take(")")
+            return Node("function", tuple(names), (self.statement(),), at)
+        if kind == "id":
+            return Node("id", value, at=at)
+        raise ParseError("expected a value", self.text, at)
+
+    def postfix(self, node: Node) -> Node:
+        while True:
+            op = self.peek()
+            if op == "(":
+                at = self.take()[2]
+                args, names = self.arguments(")")
+                node = Node("call", (node.value if node.kind == "id" else node, names), args, at)
+            elif op == "[":
+                at = self.take()[2]
+                args, _ = self.arguments("]")
+                node = Node("index", args=(node, *args), at=at)
+            elif op == "$":
+                at = self.take()[2]
+                node = Node("column", self.take()[1], (node,), at)
+            else:
+                return node
+
+    def arguments(self, end: str) -> tuple[tuple, tuple]:
+        args, names = [], []
+        while self.peek() != end:
+            if self.peek() == ",":
+                self.take()
+                args.append(None)
+                names.append(None)
+                if self.peek() == end:
+                    args.append(None)
+                    names.append(None)
+                continue
+            name = None
+            if self.i + 1 < len(self.tokens) and self.tokens[self.i][0] == "id" and self.peek(1) == "=":
+                name = self.take()[1]
+                self.take("=")
+            args.append(self.statement())
+            names.append(name)
+            if self.peek() == ",":
+                self.take()
+                if self.peek() == end:
+                    args.append(None)
+                    names.append(None)
+        self.take(end)
+        return tuple(args), tuple(names)
+
+
+def parse(text: str) -> Node:
+    return Parser(text).program()
