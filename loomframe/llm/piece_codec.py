@@ -267,8 +267,8 @@ def _letters(text: str, v: Vocabulary) -> np.ndarray:
 class Encoder:
     """Texts to ids; units are looked up first, and what is new is encoded together."""
 
-    def __init__(self, model_file: str | None = None, most: int = 1_000_000):
-        self.v, self.seen, self.most = vocabulary(model_file), {}, most
+    def __init__(self, model_file: str | None = None, most: int = 150_000):
+        self.v, self.seen, self.old, self.most = vocabulary(model_file), {}, {}, most
 
     def _split(self, unit: str) -> list[str]:
         """A long unit in parts between characters that no piece holds side by side."""
@@ -292,7 +292,7 @@ class Encoder:
         start = 0
         while start < len(plain):
             stop, chars = start, 0
-            while stop < len(plain) and (stop == start or chars < 250_000):
+            while stop < len(plain) and (stop == start or chars < 100_000):
                 chars += len(plain[stop]) + 1
                 stop += 1
             self.seen.update(zip(plain[start:stop], encode_units(plain[start:stop], self.v), strict=True))
@@ -302,11 +302,14 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
-        for low in range(0, len(texts), 2000):
-            units = [UNIT.findall(SIGN + t.replace(" ", SIGN)) if t else [] for t in texts[low : low + 2000]]
-            if len(self.seen) > self.most:
-                self.seen.clear()
+        for low in range(0, len(texts), 256):
+            units = [UNIT.findall(SIGN + t.replace(" ", SIGN)) if t else [] for t in texts[low : low + 256]]
+            if len(self.seen) > self.most:  # two generations: what is still asked for moves to the new one
+                self.seen, self.old = {}, self.seen
             new = set().union(*units) - self.seen.keys()
+            for u in new & self.old.keys():
+                self.seen[u] = self.old[u]
+            new -= self.old.keys()
             if new:
                 self.learn(new)
             out += [b"".join(map(self.seen.__getitem__, u)) for u in units]
