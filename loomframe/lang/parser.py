@@ -111,7 +111,8 @@ class Parser:
         if (op := self.peek()) in ("-", "+", "!"):
             at = self.take()[2]
             return Node("unary", op, (self.binary(9 if op != "!" else 3),), at)
-        return self.postfix(self.atom())
+        node = self.atom()
+        return node if node.kind == "block" else self.postfix(node)
 
     def atom(self) -> Node:
         kind, value, at = self.take()

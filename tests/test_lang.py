@@ -1,0 +1,89 @@
+import math
+
+import pytest
+
+from loomframe.lang import Session
+from loomframe.lang.parser import ParseError, parse
+
+
+@pytest.fixture(scope="module")
+def s(spark):
+    out = Session()
+    df = spark.createDataFrame([(i, float(i), None if i == 3 else float(i * 10), "ab"[i % 2]) for i in range(1, 7)], "k int, x double, y double, f string")
+    out.put("h", df, ["k"])
+    return out
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1.23", 1.23),
+        ("1+2*3", 7.0),
+        ("2^3^2", 512.0),
+        ("-2^2", -4.0),
+        ("(1+2)*3", 9.0),
+        ("7 %% 3", 1.0),
+        ("-7 % 3", -1.0),
+        ("7 %/% 2", 3.0),
+        ("1/0", math.inf),
+        ("1 < 2", 1.0),
+        ("!0", 1.0),
+        ("1 && 0", 0.0),
+        ("NA & 0", 0.0),
+        ("0 || 1", 1.0),
+        ("x = 3; x * 2", 6.0),
+        ("f = function(a, b) { a + b }; f(1, 2)", 3.0),
+        ("function(x) { y = x * 2; y + 1 }(3)", 7.0),
+        ("1 ? 2 : 3", 2.0),
+        ("ifelse(0, 2, 3)", 3.0),
+        ("sum(1, 2, 3)", 6.0),
+        ("max(1:4)", 4.0),
+        ("length(c(1, 2, 3))", 3.0),
+        ("nrow(h)", 6.0),
+        ("ncol(h)", 4.0),
+        ("h[2, 2]", 2.0),
+        ("mean(h$x)", 3.5),
+        ("sum(h[, 2])", 21.0),
+        ("sum.na.rm(h$y)", 180.0),
+        ("max(h$x) - min(h$x)", 5.0),
+        ("median(h[, 2])", 3.5),
+        ("sum(h[h$x > 4, 2])", 11.0),
+        ("sum(is.na(h$y))", 1.0),
+        ("sum(h$x > 2 & h$x < 5)", 2.0),
+        ("round(2.675, 2)", 2.67),
+        ("is.factor(h$f)", 1.0),
+        ("any.na(h)", 1.0),
+        ("sum(apply(h[, 1:2], 1, function(r) sum(r)))", 42.0),
+        ("sum(ifelse(h$x > 3, 1, 0))", 3.0),
+    ],
+)
+def test_scalars(s, text, want):
+    assert s.run(text) == pytest.approx(want)
+
+
+def test_missing(s):
+    assert math.isnan(s.run("sum(h$y)")) and math.isnan(s.run("NA + 1")) and math.isnan(s.run("sqrt(-1)"))
+
+
+def test_frames(s):
+    got = s.run("ddply(h, c(4), function(g) { cbind(mean(g[, 2]), nrow(g)) })")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 4.0, 3), ("b", 3.0, 3)]
+    assert s.run("h[, -1]").columns == ["x", "y", "f"]
+    assert [r.x for r in s.run("h[2:3, 2]").orderBy("x").collect()] == [2.0, 3.0]
+    assert s.run("unique(h$f)").count() == 2
+    assert [r.C1 for r in s.run("which(h$x > 4)").orderBy("C1").collect()] == [5.0, 6.0]
+    assert s.run("g = h; g[, 5] = g$x * 2; g").columns == ["k", "x", "y", "f", "C5"]
+    assert sorted(r[0] for r in s.run("toupper(h$f)").distinct().collect()) == ["A", "B"]
+    assert s.run("cbind(a = h$x, h$y)").columns == ["a", "y"]
+    assert s.run("rbind(h, h)").count() == 12
+
+
+@pytest.mark.parametrize("text", ["1 +", "h$nope", "h[, 9]", "foo(1)", "(1", "1 = 2", "mean(h$f)", "@"])
+def test_errors(s, text):
+    with pytest.raises(ParseError):
+        s.run(text)
+
+
+def test_caret():
+    with pytest.raises(ParseError, match=r"\n1 \+\n   \^"):
+        parse("1 +")
