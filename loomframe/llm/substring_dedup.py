@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, id_text, shuffle_width
 from .ngram_join import scramble
 
 K = 32
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame, *, n=100, crowd=48, max_crowded=1 << 16, buc
     docs: unique _id and _text.  ``max_crowded`` bounds the list of crowded anchors that is sent to all tasks.
     """
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = max(4, int(total * 3 / (n - K + 2) * 18 / bucket_bytes))
+    buckets = max(shuffle_width(docs.sparkSession), int(total * 3 / (n - K + 2) * 18 / bucket_bytes))
     made = _blobs(docs, n, _crowded(docs, n, crowd, max_crowded), buckets)
     schema = SPAN + ", _h long, _off int"
     settled = made.select(F.coalesce("_bucket", F.pmod(F.xxhash64("_doc"), F.lit(buckets)).cast("int")).alias("_bucket"), "_blob", "_doc", "_low", "_high")
