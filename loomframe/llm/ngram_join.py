@@ -1,15 +1,15 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-A document is its set of distinct 3-word shingles, as 64-bit hashes.  Documents with equal sets become one
-representative first.  A partner of a set of n shingles shares at least T = ceil(0.9 n) of them, so at most T - 1
+A document is its set of distinct word shingles (three words unless given), as 64-bit hashes.  Documents with equal sets become one
+representative first.  A partner of a set of n shingles shares at least T = ceil(0.9 n) of them (0.9: the similarity), so at most T - 1
 lists may be left out of the merge: those are the long lists, and one occurrence in the n - T + 1 short ones makes a
 candidate.  The short lists (rare shingles first: those that are frequent in any task's documents come last) are
 merged by a shuffle on the shingle; the long ones are only probed, by binary search in the candidate's sorted set.
 
 No list is expanded into all its pairs.  A list of at most ``small`` documents gives its pairs; in a longer one each
 document meets the list's last differing head first, those links are verified, and their components found.  Then only
-documents of different components meet, in blocks of ``block`` documents and behind two exact filters: the sizes, and
-256-bit sketches whose Hamming distance never exceeds the number of shingles that differ.  So a group of copies costs
+documents of different components meet: in two rounds with a few others each, in the last with all, in blocks of ``block`` documents and behind two exact filters: the sizes, and
+sketches whose Hamming distance never exceeds the number of shingles that differ.  So a group of copies costs
 about its own size, and a shingle that a third of all documents share is spread over many tasks.
 
 Defined cases: a null text is empty; a text without words has no set and links with nothing; a text of one or two
@@ -29,7 +29,10 @@ from .components import connected
 
 #: Odd multipliers of the shingle hash.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-SKETCH_WORDS = 4
+#: So many ids (8 MB) are broadcast at most, to fetch documents without dealing out all texts.
+MOST_IDS = 1_000_000
+#: Words of the sketches that go with long lists, at most: 1024 to 4096 bits, by the document's size.
+FOLDS = (16, 32, 64)
 
 
 class Shingler:
@@ -67,55 +70,77 @@ def scramble(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """256 bits: bit b is set where an odd number of shingles falls on b."""
-    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+    """At least twice as many bits as shingles, a power of two: bit b is set where an odd number falls on b."""
+    bits = 1 << max(10, (2 * max(1, len(h)) - 1).bit_length())
+    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fold(data: bytes, words: int) -> np.ndarray:
+    """A sketch with fewer bits: its parts of that length, combined by exclusive or."""
+    return np.bitwise_xor.reduce(np.frombuffer(data, dtype=np.uint64).reshape(-1, words), axis=0)
+
+
 def least_overlap(n: np.ndarray | int, t: int) -> np.ndarray | int:
     """ceil(t n / 100): what any partner of a set of n shares with it."""
     return (t * n + 99) // 100
 
 
-def _signatures(docs: DataFrame, t: int, heavy: np.ndarray) -> DataFrame:
-    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_f1", pa.int64()), ("_f2", pa.int64()), ("_short", pa.list_(pa.int64())), ("_sketch", pa.binary())])
+def _signatures(docs: DataFrame, t: int, frequent: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    schema = pa.schema([("_id", pa.int64()), ("_n", pa.int64()), ("_f1", pa.int64()), ("_f2", pa.int64()), ("_short", pa.list_(pa.int64())), ("_sketch", pa.binary()), ("_folded", pa.binary())])
+
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        shingles = Shingler()
+        shingles = Shingler(width)
+        heavy, rank = shared.value
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(text)
                 n = len(h)
                 if not n:
-                    rows.append((i, 0, 0, 0, [], b""))
+                    rows.append((i, 0, 0, 0, [], b"", b""))
                     continue
-                late = np.isin(h, heavy, assume_unique=True) if len(heavy) else np.zeros(n, dtype=bool)
-                order = np.concatenate([h[~late], h[late]])[: n - least_overlap(n, t) + 1]
+                order = _rare_first(h, heavy, rank)[: n - least_overlap(n, t) + 1]
                 two = scramble(h * MIX[1])
-                rows.append((i, n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(two).view(np.int64) ^ two.sum().view(np.int64)), order.view(np.int64), sketch(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
+                rows.append((i, n, int(h.sum().view(np.int64)), int(np.bitwise_xor.reduce(two).view(np.int64) ^ two.sum().view(np.int64)), order.view(np.int64), drawn := sketch(h), fold(drawn, min(FOLDS[-1], len(drawn) // 8)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
+
+    return docs.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _short array<long>, _sketch binary, _folded binary")
+
 
-    return docs.mapInArrow(run, "_id long, _n long, _f1 long, _f2 long, _short array<long>, _sketch binary")
+def _rare_first(h: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """One order for all documents: shingles that are not frequent by hash, then the frequent ones by count."""
+    if not len(heavy):
+        return h
+    at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+    late = heavy[at] == h
+    return np.concatenate([h[~late], h[late][np.argsort(rank[at[late]])]])
 
 
-def _frequent(docs: DataFrame, least: int, most: int) -> np.ndarray:
-    """Shingles that occur in at least ``least`` documents of what one task holds at a time, the ``most`` commonest.
+def _frequent(docs: DataFrame, least: int, most: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in at least ``least`` documents of what one task holds at a time, the ``most`` commonest,
+    sorted, and their ranks by count.
 
     Counted over all documents.  The choice decides the order of lists and so the cost, never the result.
     """
     schema = pa.schema([("_h", pa.int64()), ("_c", pa.int64())])
 
     def run(batches):
-        shingles = Shingler()
+        shingles = Shingler(width)
         for batch in batches:
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = c >= least
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], schema=schema)
 
-    found = docs.mapInArrow(run, "_h long, _c long").groupBy("_h").agg(F.sum("_c").alias("_c")).orderBy(F.desc("_c"), "_h").limit(most)
-    return np.sort(found.select("_h").toArrow()["_h"].to_numpy().view(np.uint64))
+    found = docs.mapInArrow(run, "_h long, _c long").groupBy("_h").agg(F.sum("_c").alias("_c")).orderBy(F.desc("_c"), "_h").limit(most).toArrow()
+    h, c = found["_h"].to_numpy().view(np.uint64), found["_c"].to_numpy()
+    order = np.argsort(h)
+    rank = np.empty(len(h), dtype=np.int32)
+    rank[np.lexsort((h, c))] = np.arange(len(h), dtype=np.int32)
+    return h[order], rank[order]
 
 
 def _lists(stream, keys: int):
@@ -157,7 +182,7 @@ def _first_pairs(postings: DataFrame, t: int, small: int) -> DataFrame:
     def run(batches):
         for table in _lists(batches, 1):
             at = _bounds(table, 1)
-            token, rep, n = (table.column(k).to_numpy() for k in range(3))
+            token, rep, n, pos = (table.column(k).to_numpy() for k in range(4))
             size = np.diff(at)
             a, b, long_tokens, long_sizes = [], [], [], []
             for s in range(2, small + 1):  # all lists of one size together
@@ -179,7 +204,9 @@ def _first_pairs(postings: DataFrame, t: int, small: int) -> DataFrame:
                 long_sizes.append(stop - start)
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
-                good = (a != b) & (100 * np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]))
+                # the first shingle that partners share leaves enough of both behind it to reach the overlap
+                overlap = -(-t * (n[a] + n[b]) // (100 + t))
+                good = (a != b) & (100 * np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b])) & (n[a] - pos[a] >= overlap) & (n[b] - pos[b] >= overlap)
                 pairs = np.unique(np.stack([np.minimum(rep[a[good]], rep[b[good]]), np.maximum(rep[a[good]], rep[b[good]])], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64())], schema=schema)
             if long_tokens:
@@ -188,8 +215,19 @@ def _first_pairs(postings: DataFrame, t: int, small: int) -> DataFrame:
     return postings.repartition("_token").sortWithinPartitions("_token", "_n", "_rep").mapInArrow(run, "_a long, _b long, _token long, _size long")
 
 
-def _rest_pairs(postings: DataFrame, long_lists: DataFrame, t: int, block: int) -> DataFrame:
-    """Pairs of different components in the long lists that pass the filters on sizes and sketches."""
+def _some(p: np.ndarray, q: np.ndarray, rep: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Up to three pairs of each p: with the smallest component, and two by a hash of both, alike in every list."""
+    first = lambda order, k: order[np.arange(len(order)) - np.searchsorted(p[order], p[order]) < k]
+    mixed = scramble(rep[p].view(np.uint64) * MIX[0] + rep[q].view(np.uint64) * MIX[1])
+    return np.unique(np.concatenate([first(np.lexsort((rep[q], part[q], p)), 1), first(np.lexsort((mixed, p)), 2)]))
+
+
+def _rest_pairs(postings: DataFrame, long_lists: DataFrame, t: int, block: int, some: bool = False) -> DataFrame:
+    """Pairs of different components in the long lists that pass the filters on sizes and sketches.
+
+    some: only a few for each document, which joins most of a large group's components at little cost before all of
+    the pairs that are still apart are looked at.
+    """
     schema = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
     blocks = F.ceil(F.col("_size") / block).cast("int")
     rows = postings.join(long_lists, "_token").withColumn("_k", F.pmod(F.xxhash64("_rep"), blocks).cast("int"))
@@ -200,7 +238,9 @@ def _rest_pairs(postings: DataFrame, long_lists: DataFrame, t: int, block: int)
         for table in _lists(batches, 3):
             at = _bounds(table, 3)
             i, j, rep, n, part, k = (table.column(c).to_numpy() for c in (1, 2, 3, 4, 5, 7))
-            bits = np.frombuffer(b"".join(table.column(6).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+            drawn = table.column(6).to_pylist()
+            wide = np.array([len(x) // 8 for x in drawn])
+            bits = {w: np.array([fold(x, w) if len(x) >= 8 * w else np.zeros(w, np.uint64) for x in drawn], dtype=np.uint64).reshape(-1, w) for w in FOLDS if w == FOLDS[0] or (wide >= w).any()}
             found = []
             for start, stop in zip(at[:-1], at[1:], strict=True):
                 own = slice(start, stop)
@@ -215,9 +255,16 @@ def _rest_pairs(postings: DataFrame, long_lists: DataFrame, t: int, block: int)
                         good &= k[x][:, None] != k[own][None]
                     p, q = np.nonzero(good)
                     p, q = x[p], q + start
-                    apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                    apart = np.zeros(len(p), dtype=np.int64)
+                    for w, b in bits.items():
+                        own_w = np.minimum(wide[p], wide[q]) == w
+                        apart[own_w] = np.bitwise_count(b[p[own_w]] ^ b[q[own_w]]).sum(axis=1, dtype=np.int64)
                     near = apart * (100 + t) <= (100 - t) * (n[p] + n[q])
-                    p, q = rep[p[near]], rep[q[near]]
+                    p, q = p[near], q[near]
+                    if some and len(p):
+                        chosen = _some(p, q, rep, part)
+                        p, q = p[chosen], q[chosen]
+                    p, q = rep[p], rep[q]
                     found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
@@ -226,16 +273,36 @@ def _rest_pairs(postings: DataFrame, long_lists: DataFrame, t: int, block: int)
     return rows.repartition("_token", "_i", "_j").sortWithinPartitions("_token", "_i", "_j").mapInArrow(run, "_a long, _b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, t: int, per_task: int = 512) -> DataFrame:
+def _sketched(pairs: DataFrame, reps: DataFrame, t: int) -> DataFrame:
+    """Pairs that their sketches do not rule out; the filter is exact, and a sketch is much smaller than a set."""
+    side = lambda c: reps.select(F.col("_rep").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_sketch").alias(f"_s{c}"))
+    both = pairs.join(side("_a"), "_a").join(side("_b"), "_b").select("_a", "_b", "_n_a", "_n_b", "_s_a", "_s_b")
+    schema = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            apart = np.zeros(batch.num_rows, dtype=np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                words = min(len(x), len(y)) // 8
+                apart[k] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()
+            near = apart * (100 + t) <= (100 - t) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], schema=schema)
+
+    return cut(both.mapInArrow(run, "_a long, _b long"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, t: int, width: int, per_task: int = 512) -> DataFrame:
     """The pairs (a, b) whose sets meet the similarity: b's long and short lists are probed in a's set by binary search.
 
     A set that many others ask for is sent to several tasks, ``per_task`` partners each.
     """
-    wanted = pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct()
+    wanted = cut(pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct())
+    if wanted.count() <= MOST_IDS:
+        wanted = F.broadcast(wanted)
     set_schema = pa.schema([("_id", pa.int64()), ("_set", pa.binary())])
 
     def shingle(batches):
-        shingles = Shingler()
+        shingles = Shingler(width)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], schema=set_schema)
 
@@ -267,25 +334,32 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: int, per_task: int = 512) ->
     return rows.mapInArrow(probe, "_a long, _b long")
 
 
-def ngram_join(docs: DataFrame, *, id_col="doc_id", text_col="text", percent=90, small=8, block=4096, frequent=24, max_frequent=1 << 18) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col="doc_id", text_col="text", percent=90, width=3, small=8, block=4096, frequent=6, max_frequent=1 << 19) -> DataFrame:
     """One row for each distinct id: _id, n_shingles, component_id (smallest id reachable by links).
 
-    ``max_frequent`` bounds the broadcast list of frequent shingles (2 MB of hashes); ``percent`` is the similarity.
+    ``max_frequent`` bounds the broadcast list of frequent shingles (6 MB of hashes and ranks); ``percent`` is the
+    similarity, ``width`` the words of a shingle.
     """
     rows = id_text(docs, id_col, text_col).where("_id IS NOT NULL")
-    signs = cut(_signatures(rows, percent, _frequent(rows, frequent, max_frequent)).groupBy("_id").agg(F.min(F.struct("_n", "_f1", "_f2", "_short", "_sketch")).alias("s")).select("_id", "s.*"))
+    signs = cut(_signatures(rows, percent, _frequent(rows, frequent, max_frequent, width), width).groupBy("_id").agg(F.min(F.struct("_n", "_f1", "_f2", "_short", "_sketch", "_folded")).alias("s")).select("_id", "s.*"))
     classes = signs.where("_n > 0").groupBy("_n", "_f1", "_f2").agg(F.min("_id").alias("_rep"))
-    reps = cut(signs.where("_n > 0").join(classes.select("_rep"), signs["_id"] == classes["_rep"], "left_semi").select(F.col("_id").alias("_rep"), "_n", "_short", "_sketch"))
-    found = cut(_first_pairs(reps.select(F.explode("_short").alias("_token"), "_rep", "_n"), percent, small).distinct())
-    first = cut(_verified(rows, found.where("_a IS NOT NULL").select("_a", "_b"), percent))
-    one = connected(first, "_a", "_b")
-    placed = reps.join(one, reps["_rep"] == one["node"], "left").select("_rep", "_n", "_short", "_sketch", F.coalesce("component", "_rep").alias("_component"))
+    reps = cut(signs.where("_n > 0").join(classes.select("_rep"), signs["_id"] == classes["_rep"], "left_semi").select(F.col("_id").alias("_rep"), "_n", "_short", "_sketch", "_folded"))
+    found = cut(_first_pairs(reps.select(F.posexplode("_short").alias("_pos", "_token"), "_rep", "_n").select("_token", "_rep", "_n", "_pos"), percent, small).distinct())
+    first = cut(_verified(rows, _sketched(found.where("_a IS NOT NULL").select("_a", "_b"), reps, percent), percent, width))
+    parts = connected(first, "_a", "_b")
     long_lists = found.where("_token IS NOT NULL").select("_token", "_size")
-    rest = cut(_rest_pairs(placed.select(F.explode("_short").alias("_token"), "_rep", "_n", "_component", "_sketch"), long_lists, percent, block).distinct())
-    second = _verified(rows, rest, percent) if rest.head(1) else None
+    # two rounds over an eighth of the lists each join most of a large group; the last one looks at all lists and at
+    # every pair that is still apart
+    for lists in (long_lists.where("pmod(_token, 8) = 0"), long_lists.where("pmod(_token, 8) = 1"), long_lists):
+        some = lists is not long_lists
+        placed = reps.join(parts, reps["_rep"] == parts["node"], "left").select("_rep", "_n", "_short", "_folded", F.coalesce("component", "_rep").alias("_component"))
+        postings = placed.select(F.explode("_short").alias("_token"), "_rep", "_n", "_component", F.col("_folded").alias("_sketch"))
+        rest = cut(_rest_pairs(postings, lists, percent, block, some).distinct())
+        if not rest.head(1):
+            continue
+        links = _verified(rows, _sketched(rest, reps, percent), percent, width)
+        parts = connected(parts.select(F.col("node").alias("_a"), F.col("component").alias("_b")).union(links), "_a", "_b")
     same = signs.where("_n > 0").join(classes, ["_n", "_f1", "_f2"]).select(F.col("_id").alias("node"), F.col("_rep").alias("_r"))
-    # (rep, smaller rep) links become components of the representatives; members follow theirs
-    parts = one if second is None else connected(one.select(F.col("node").alias("_a"), F.col("component").alias("_b")).union(second), "_a", "_b")
     of_member = same.join(parts.withColumnRenamed("node", "_r"), "_r", "left").select("node", F.coalesce("component", "_r").alias("component_id"))
     return signs.join(of_member, signs["_id"] == of_member["node"], "left").select("_id", F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
