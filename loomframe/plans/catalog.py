@@ -31,7 +31,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 c = F.col
 #: A line-item quantity that is missing above 45, to exercise missing values.
-HOLED = F.when(c("l_quantity") <= 45, c("l_quantity"))
+def holed():
+    return F.when(c("l_quantity") <= 45, c("l_quantity"))
+
+
 HOLED_SQL = "CASE WHEN l_quantity <= 45 THEN l_quantity END"
 
 
@@ -61,14 +64,14 @@ def ddply_udf(spark, sf_dir):
 
 @query(f"SELECT CASE WHEN count(*) = count(q) THEN sum(q) END AS sum_poisoned, round(sum(q), 2) AS sum_na_rm, CASE WHEN count(*) = count(q) THEN min(q) END AS min_poisoned, min(q) AS min_na_rm, max(q) AS max_na_rm, round(sum(l_tax), 4) AS sum_whole FROM (SELECT {HOLED_SQL} AS q, l_tax FROM lineitem)")
 def sum_min_max_na(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").select(HOLED.alias("q"), "l_tax")
+    x = read(spark, sf_dir, "lineitem").select(holed().alias("q"), "l_tax")
     q = c("q")
     return x.agg(reduce.total(q).alias("sum_poisoned"), F.round(reduce.total(q, True), 2).alias("sum_na_rm"), reduce.least(q).alias("min_poisoned"), reduce.least(q, True).alias("min_na_rm"), reduce.greatest(q, True).alias("max_na_rm"), F.round(reduce.total(c("l_tax")), 4).alias("sum_whole"))
 
 
 @query(f"SELECT round(avg(q), 6) AS mean, round(stddev_samp(q), 6) AS sd, round(var_samp(q), 6) AS var FROM (SELECT {HOLED_SQL} AS q FROM lineitem)")
 def mean_sd_var(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").select(HOLED.alias("q"))
+    x = read(spark, sf_dir, "lineitem").select(holed().alias("q"))
     return x.agg(F.round(reduce.mean(c("q")), 6).alias("mean"), F.round(reduce.sd(c("q")), 6).alias("sd"), F.round(F.var_samp("q"), 6).alias("var"))
 
 
@@ -166,7 +169,7 @@ def filter_boolean(spark, sf_dir):
 
 @query(f"SELECT count(*) AS kept FROM lineitem WHERE ({HOLED_SQL}) > 30 OR ({HOLED_SQL}) IS NULL")
 def filter_keeps_na(spark, sf_dir):
-    return frame.filter_rows(read(spark, sf_dir, "lineitem"), HOLED > 30, na_rows="keep").agg(F.count("*").alias("kept"))
+    return frame.filter_rows(read(spark, sf_dir, "lineitem"), holed() > 30, na_rows="keep").agg(F.count("*").alias("kept"))
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier")
@@ -225,13 +228,13 @@ def logic_na(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN NULL WHEN l_quantity > 30 THEN 'large' WHEN l_quantity > 10 THEN 'medium' ELSE 'small' END AS size FROM lineitem")
 def ifelse_nested(spark, sf_dir):
-    q = HOLED
+    q = holed()
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.if_else(A.compare(q, ">", F.lit(30)), F.lit("large"), A.if_else(A.compare(q, ">", F.lit(10)), F.lit("medium"), F.lit("small"))).alias("size"))
 
 
 @query(f"SELECT count(*) FILTER (WHERE q IS NULL) AS na, count(q) AS some FROM (SELECT {HOLED_SQL} AS q FROM lineitem)")
 def is_na_counts(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select(A.is_na(HOLED).alias("x")).agg(F.sum("x").alias("na"), F.sum(1 - c("x")).alias("some"))
+    return read(spark, sf_dir, "lineitem").select(A.is_na(holed()).alias("x")).agg(F.sum("x").alias("na"), F.sum(1 - c("x")).alias("some"))
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id) AS place FROM events QUALIFY event_type = 'click'")
@@ -409,12 +412,12 @@ def interaction(spark, sf_dir):
 
 @query(f"SELECT l_orderkey, l_linenumber, round(coalesce({HOLED_SQL}, (SELECT avg({HOLED_SQL}) FROM lineitem)), 6) AS q FROM lineitem")
 def impute_mean(spark, sf_dir):
-    return groups.impute(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", HOLED.alias("q")), "q").select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
+    return groups.impute(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", holed().alias("q")), "q").select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_returnflag, coalesce({HOLED_SQL}, quantile_cont({HOLED_SQL}, 0.5) OVER (PARTITION BY l_returnflag)) AS q FROM lineitem")
 def impute_grouped_median(spark, sf_dir):
-    return groups.impute(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", HOLED.alias("q")), "q", "median", ["l_returnflag"])
+    return groups.impute(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", holed().alias("q")), "q", "median", ["l_returnflag"])
 
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, (SELECT c_mktsegment FROM customer WHERE c_acctbal > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS seg FROM customer")
