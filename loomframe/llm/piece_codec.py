@@ -75,14 +75,8 @@ class Vocabulary:
         for row, (p, _) in enumerate(searched):
             wide[row, : len(p)] = ends[row, : len(p)] = [self.letter[c] for c in p]
         self.low_keys, self.high_keys = (np.frombuffer(a.tobytes(), dtype=f"S{2 * self.longest}") for a in (wide, ends))
-        self.spelled = [self._spell(model, i) for i in range(n)]
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
 
-    def _spell(self, model, i: int) -> bytes:
-        if model.is_byte(i):
-            return bytes([int(self.pieces[i][3:5], 16)])
-        return b"" if model.is_control(i) else self.pieces[i].replace(SIGN, " ").encode("utf-8")
-
     def _table(self, pairs: np.ndarray) -> None:
         """An open hash table (first piece, second piece) -> merged piece."""
         self.bits = max(4, int(len(pairs) * 4).bit_length())
@@ -214,7 +208,7 @@ def encode_units(units: list[str], v: Vocabulary) -> list[bytes]:
     start = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
     end = start + v.length[piece]
     # by end, the longest first
-    by = np.lexsort((start, end))
+    by = np.argsort(end * 64 - v.length[piece])
     piece, start, end = piece[by], start[by], end[by]
     edge = np.searchsorted(end, np.arange(len(codes) + 1), side="left")
     size = np.array(spread, dtype=np.int64)
@@ -243,19 +237,27 @@ def encode_units(units: list[str], v: Vocabulary) -> list[bytes]:
             good &= before != -2
             last[todo[good]], back[todo[good]] = piece[e[good]], start[e[good]]
             todo, e = todo[~good], e[~good] + 1
-    out = []
-    last_l, back_l = last.tolist(), back.tolist()
-    for f, unit in zip(first.tolist(), units, strict=True):
-        at, ids = f + len(unit), []
-        while at > f:
-            i = last_l[at]
-            if i == -1:
-                ids.extend(reversed(v.fallback(ord(unit[at - 1 - f]))))
-            else:
-                ids.append(i)
-            at = back_l[at]
-        out.append(np.array(ids[::-1], dtype="<i4").tobytes())
-    return out
+    # back along all paths together: a place is on its unit's path or not
+    on = np.zeros(len(last), dtype=bool)
+    at, unit_begin = first + np.array(spread, dtype=np.int64), first
+    while len(at):
+        on[at] = True
+        at = back[at]
+        going = at > unit_begin
+        at, unit_begin = at[going], unit_begin[going]
+    places = np.flatnonzero(on)
+    ids = last[places]
+    unit = np.searchsorted(first, places, side="left") - 1
+    unknown = np.flatnonzero(ids < 0)
+    if len(unknown):
+        spelled = [v.fallback(ord(text[p - 1])) for p in places[unknown].tolist()]
+        times = np.ones(len(ids), dtype=np.int64)
+        times[unknown] = [len(x) for x in spelled]
+        ids, unit = np.repeat(ids, times), np.repeat(unit, times)
+        ids[ids < 0] = [i for x in spelled for i in x]
+    data = ids.astype("<i4").tobytes()
+    cuts = (4 * np.searchsorted(unit, np.arange(len(units) + 1))).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _letters(text: str, v: Vocabulary) -> np.ndarray:
@@ -315,11 +317,29 @@ class Encoder:
             out += [b"".join(map(self.seen.__getitem__, u)) for u in units]
         return out
 
-    def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.v.spelled.__getitem__, np.frombuffer(ids, dtype="<i4").tolist())).decode("utf-8", "replace")
+
+class Decoder:
+    """Ids to texts; knows the pieces' spelling only."""
+
+    def __init__(self, model_file: str | None = None):
+        self.spelled = spelling(model_file)
+
+    def __call__(self, ids: bytes) -> str:
+        text = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, dtype="<i4").tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=2)
+def spelling(model_file: str | None = None) -> list[bytes]:
+    """What each id stands for; control signs stand for nothing."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file or public_tokenizers.path("piece_bpe_32k.model"))
+    one = lambda i: bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(SIGN, " ").encode("utf-8")
+    return [one(i) for i in range(model.get_piece_size())]
+
+
 def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", model_file=None) -> DataFrame:
     """_id, _text and ids (little-endian 32-bit) of each document."""
     schema = pa.schema([("_id", pa.int64()), ("_text", pa.string()), ("ids", pa.binary())])
@@ -337,10 +357,10 @@ def decode(encoded: DataFrame, *, ids_col="ids", model_file=None) -> DataFrame:
     keep = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches):
-        encoder = Encoder(model_file)
+        decoder = Decoder(model_file)
         for batch in batches:
             batch = batch.select(keep)
-            made = pa.array([None if x is None else encoder.decode(x) for x in batch.column(ids_col).to_pylist()], pa.string())
+            made = pa.array([None if x is None else decoder(x) for x in batch.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*keep, "decoded"])
 
     from pyspark.sql.types import StringType, StructField, StructType
