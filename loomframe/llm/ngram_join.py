@@ -348,6 +348,8 @@ def ngram_join(docs: DataFrame, *, id_col="doc_id", text_col="text", percent=90,
     first = cut(_verified(rows, _sketched(found.where("_a IS NOT NULL").select("_a", "_b"), reps, percent), percent, width))
     parts = connected(first, "_a", "_b")
     long_lists = found.where("_token IS NOT NULL").select("_token", "_size")
+    if long_lists.count() <= MOST_IDS:  # then the postings, with their sketches, are dealt out only where a list is long
+        long_lists = F.broadcast(long_lists)
     # two rounds over an eighth of the lists each join most of a large group; the last one looks at all lists and at
     # every pair that is still apart
     for lists in (long_lists.where("pmod(_token, 8) = 0"), long_lists.where("pmod(_token, 8) = 1"), long_lists):
