@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,34 @@ def test_mixing_is_a_distribution():
     assert alone[0] == pytest.approx(mixer.score([b"x", b"some text"])[1], rel=1e-5)
 
 
+def test_mixing_counts_every_context(spark):
+    """No two contexts share a count, and every training text's decisions are counted, whatever the batches."""
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(300))).decode() for _ in range(60)]
+    df = spark.createDataFrame([(i, x, i % 7 != 2, i) for i, x in enumerate(texts)], "_id long, _text string, _train boolean, _key long").repartition(3)
+    code = context_mixing.Code(np.bincount(list("".join(texts).encode()), minlength=257))
+    paths = lambda b: list(zip(*(x[code.start[b] : code.start[b] + code.length[b]].tolist() for x in (code.gate, code.bit)), strict=True))
+    want: dict = {}
+    for i, x in enumerate(texts):
+        raw = [*x.encode(), context_mixing.END]
+        for at, b in enumerate(raw if i % 7 != 2 else []):
+            for node, bit in paths(b):
+                want.setdefault((tuple(raw[max(0, at - 4) : at]), at < 4, node), [0, 0])[bit] += 1
+    counted = context_mixing._with_counts(df, code, 5, 1000).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(r.rows) for r in counted], pa.binary()), pa.array([[bytes(b) for b in r.counts] for r in counted], pa.list_(pa.binary()))], names=["rows", "counts"])
+    seen = 0
+    for _, raws, own, known in context_mixing._batches([batch], code, 5):
+        signs = context_mixing.signs_of(raws)[0].tolist()
+        doc = np.repeat(np.arange(len(raws)), own.ends - own.first)
+        for at, what in enumerate(own.what.tolist()):
+            begin = at - int(own.first[doc[at]])
+            for j, (node, _) in enumerate(paths(signs[at])):
+                got = known[1][:, own.place[1][own.start[what] + j]].tolist()
+                assert got == want.get((tuple(signs[at - min(4, begin) : at]), begin < 4, node), [0, 0])
+                seen += 1
+    assert len(counted) > 3 and seen > 60 * 100
+
+
 def test_jaccard_against_all_pairs(docs, texts, none):
     want = brute.jaccard_components(plain(texts))
     for options in ({}, {"small": 2, "block": 4, "frequent": 2}, {"frequent": 10**9}):
