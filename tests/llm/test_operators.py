@@ -287,6 +287,27 @@ def test_mixing_counts_every_context(spark):
     assert len(counted) > 3 and seen > 60 * 100
 
 
+def test_mixing_learns_within_a_short_text():
+    """A text of under a kilobyte that repeats itself gets cheaper, and a counted text is scored as if it were not."""
+    rng = random.Random(9)
+    unit = bytes(rng.randrange(97, 123) for _ in range(150))
+    code = context_mixing.Code(np.bincount(list(unit), minlength=257))
+    mixer = context_mixing.Mixer(code)
+
+    def bits(text, train, extra=0):
+        batch = context_mixing.Batch([text], np.array([train]), code)
+        known = [np.stack(batch.counts(k)).astype(np.float32) + extra for k in range(3)]
+        return -mixer.score([text], batch, known, np.array([train]))[0] * math.log2(10)
+
+    once, often = bits(unit, False), bits(unit * 6, False)
+    assert often < 3 * once
+    assert bits(unit * 6, True) == pytest.approx(often, rel=1e-5)
+    place, owner, bit = np.array([1, 0, 1, 1, 1]), np.array([0, 0, 0, 1, 0]), np.array([1, 0, 1, 0, 0])
+    known = np.array([[1, 5], [0, 7]], dtype=np.float32)
+    want = [(5, 7), (1, 0), (5, 8), (5, 7), (5, 9)]
+    assert context_mixing.online_odds(place, owner, bit, known, False).tolist() == pytest.approx([math.log((b + 0.4) / (a + 0.4)) for a, b in want], rel=1e-5)
+
+
 def test_jaccard_against_all_pairs(docs, texts, none):
     want = brute.jaccard_components(plain(texts))
     for options in ({}, {"small": 2, "block": 4, "frequent": 2}, {"frequent": 10**9}):
