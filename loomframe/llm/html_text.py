@@ -1,27 +1,31 @@
 """Main text of web pages by nearest-URL differencing.
 
-Pages are dealt by ranges of (host, path) and sorted, so that a page's neighbours are those of its host with the
-nearest paths; a host with a third of all pages is spread over many tasks.  Each page is cut into text lines, its
-lines are aligned with those of the neighbour that has the longer common path (longest common subsequence), and lines
-that both have are deleted.  Marked-up evidence goes first: lines inside an article are kept although a copy of the
-article stands next to it, and lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments
-are dropped although the neighbour lacks them.
+Each page is cut into text lines.  Pages of one host with the same lines are one class; the classes are numbered by
+(host, path), which ranges of them do in parallel, and neighbours meet by a join on the number, so that slices of the
+order do not matter; only 64-bit hashes of the lines travel for it.  A class's lines are aligned with those of the neighbour of its host that has the longer common path
+(longest common subsequence), and lines that both have are deleted, also inside articles and main regions; only a region
+whose lines all stand in the neighbour is a copy and kept whole.  Lines inside menus, headers, footers, sidebars, notices,
+adverts, forms and comments are dropped although the neighbour lacks them.
 
 Defined cases: a null html is empty and gives an empty text; a null url, or one without a host, belongs to host '';
-repeated rows are treated one by one, and equal pages next to each other keep their article or main lines; a page
-without a neighbour in its task is only cleaned by its mark-up; an empty table gives no rows; other columns are not
-read.  Unclosed tags, stray brackets and references without a semicolon are read as browsers read them.
+pages with the same lines have the same text; a page whose host has no other lines is only cleaned by its mark-up; an
+empty table gives no rows; other columns are not read.  Unclosed tags, stray brackets and references without a semicolon
+are read as browsers read them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 #: Elements that begin and end a line.
@@ -156,11 +160,13 @@ def common(a: list, b: list) -> list[bool]:
     return out
 
 
-def main_text(lines: list[tuple[int, str]], shared: list[bool]) -> str:
-    best = max((w for w, _ in lines), default=0)
-    if best > BODY_LINE:
-        return "\n".join(t for w, t in lines if w == best)
-    return "\n".join(t for (w, t), s in zip(lines, shared, strict=True) if w == BODY_LINE and not s)
+def kept(where: list[int], shared: list[bool]) -> list[bool]:
+    """Of the lines of the best region: whether the neighbour lacks them, or the whole marked region is a copy."""
+    best = max(where, default=ASIDE_LINE)
+    own = [s for w, s in zip(where, shared, strict=True) if w == best]
+    if best > BODY_LINE and all(own):
+        return [True] * len(own)
+    return [best > ASIDE_LINE and not s for s in own]
 
 
 def _alike(a: str, b: str) -> int:
@@ -178,32 +184,61 @@ def extract(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("_id"), url.alias("_url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("_html"), host.alias("_host"), path.alias("_path"))
-    dealt = rows.repartitionByRange("_host", "_path", "_id").sortWithinPartitions("_host", "_path", "_id")
-    schema = pa.schema([("_id", pa.int64()), ("_url", pa.string()), ("text", pa.string())])
+    keyed = cut(_parsed(rows, True))
+    # pages of a host with equal lines are one class, which stands where its first page does
+    first = keyed.groupBy("_host", "_same").agg(F.min(F.struct("_path", "_id", "_lines")).alias("f")).select("_host", "_same", F.col("f._path").alias("_path"), F.col("f._id").alias("_first"), F.col("f._lines").alias("_lines"))
+    placed = cut(_placed(first))
+    near = [placed.select((F.col("_row") + by).alias("_row"), *(F.col(f"_{c}").alias(f"_{c}{by}") for c in ("host", "path", "lines"))) for by in (1, -1)]
+    both = placed.join(near[0], "_row", "left").join(near[1], "_row", "left")
+    done = _differenced(both.select("_host", "_same", "_path", "_lines", *(F.col(f"_{c}{by}") for by in (1, -1) for c in ("host", "path", "lines"))))
+    a, b = _parsed(rows, False).alias("a"), done.alias("b")
+    own = a.join(b, (F.col("a._host") == F.col("b._host")) & (F.col("a._same") == F.col("b._same")))
+    text = F.array_join(F.filter(F.split("_text", "\n"), lambda _, i: F.coalesce(F.get("_kept", i), F.lit(False))), "\n")
+    return own.select("_id", "_url", text.alias("text"))
+
+
+def _placed(classes: DataFrame) -> DataFrame:
+    """_row: the place of each class by (host, path); the ranges are stored before they are counted, so that both see the same."""
+    order = ["_host", "_path", "_first", "_same"]
+    dealt = cut(classes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_row", within).join(F.broadcast(before), "_part").withColumn("_row", F.col("_row") + F.col("_before")).drop("_part", "_before", "_first")
+
+
+def _parsed(rows: DataFrame, keys: bool) -> DataFrame:
+    """_same: a hash of each page's lines; with keys, _lines: where each line stands and its hash, else _text: the lines of the best region."""
 
     def run(batches):
-        before = now = None  # (id, url, host, path, lines)
-
-        def result(page, *others):
-            near = [o for o in others if o is not None and o[2] == page[2]]
-            other = max(near, key=lambda o: _alike(o[3], page[3]), default=None)
-            lines = page[4]
-            if other is None:
-                shared = [False] * len(lines)
-            else:
-                shared = common([t for _, t in lines], [t for _, t in other[4]])
-            return page[0], page[1], main_text(lines, shared)
+        import xxhash
+
+        for batch in batches:
+            same, more = [], []
+            for page in batch.column(4).to_pylist():
+                lines = lines_of(page)
+                where = bytes(w for w, _ in lines)
+                raw = where + np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for _, t in lines], dtype="<u8").tobytes()
+                same.append(hashlib.blake2b(raw, digest_size=16).digest())
+                more.append(raw if keys else "\n".join(t for w, t in lines if w == max(where)))
+            columns = [batch.column(k) for k in ((0, 2, 3) if keys else (0, 1, 2))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.binary()), pa.array(more, pa.binary() if keys else pa.string())], names=["_id", *(("_host", "_path") if keys else ("_url", "_host")), "_same", "_lines" if keys else "_text"])
+
+    return rows.select("_id", "_url", "_host", "_path", "_html").mapInArrow(run, "_id long, _host string, _path string, _same binary, _lines binary" if keys else "_id long, _url string, _host string, _same binary, _text string")
 
+
+def _differenced(pairs: DataFrame) -> DataFrame:
+    """_kept of each class, against the neighbour of its host with the longer common path."""
+
+    def run(batches):
         for batch in batches:
-            done = []
-            for i, u, page, h, p in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                then = (i, u, h, p, lines_of(page))
-                if now is not None:
-                    done.append(result(now, before, then))
-                before, now = now, then
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], f.type) for k, f in enumerate(schema)], schema=schema)
-        if now is not None:
-            done = result(now, before)
-            yield pa.RecordBatch.from_arrays([pa.array([done[k]], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    return dealt.select("_id", "_url", "_html", "_host", "_path").mapInArrow(run, "_id long, _url string, text string")
+            out = []
+            for host, _, path, own, *others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where, mine = own[: len(own) // 9], np.frombuffer(own, "<u8", offset=len(own) // 9).tolist()
+                near = [(p, np.frombuffer(x, "<u8", offset=len(x) // 9).tolist()) for h, p, x in (others[:3], others[3:]) if h == host]
+                # the same text under other mark-up says nothing
+                other = max((o for o in near if o[1] != mine), key=lambda o: _alike(o[0], path), default=None)
+                out.append(kept(list(where), common(mine, other[1]) if other else [False] * len(mine)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.bool_()))], names=["_host", "_same", "_kept"])
+
+    return pairs.mapInArrow(run, "_host string, _same binary, _kept array<boolean>")

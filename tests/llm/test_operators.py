@@ -351,6 +351,34 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_and_slices(spark):
+    """Copies do not delete each other, neighbours meet across slices, and shared lines go from marked regions too."""
+    cases = [
+        *[(f"http://e.com/{k}", page(f"<p>Site of e</p><p>Story {k // 2} here</p><p>Imprint of e</p>"), f"Story {k // 2} here") for k in range(40)],
+        ("http://f.com/a", page("<p>Top</p><p>Twice the same</p>"), "Twice the same"),
+        ("http://f.com/a?b", page("<p>Top</p><p>Twice the same</p>"), "Twice the same"),
+        ("http://f.com/c", page("<p>Top</p><p>Another</p>"), "Another"),
+        ("http://g.com/a", page("<article><p>Share this</p><p>First</p></article>"), "First"),
+        ("http://g.com/b", page("<article><p>Share this</p><p>Second</p></article>"), "Second"),
+        ("http://g.com/c", page("<div><article><p>Share this</p><p>Second</p></article><p>More</p></div>"), "Share this\nSecond"),
+        ("http://h.com/a", page("<p>alone</p>"), "alone"),
+        ("http://h.com/b", page("<p>alone</p>"), "alone"),
+    ]
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(cases)]
+    want = {i: c[2] for i, c in enumerate(cases)}
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for width, adaptive in (("1", "true"), ("61", "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
+            got = html_text.extract(df).collect()
+            assert len(got) == len(rows) + 1 and {r._id: r.text for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
 def test_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
