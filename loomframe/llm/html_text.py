@@ -36,20 +36,34 @@ RAW = frozenset("script style template noscript iframe object svg math canvas au
 ASIDE = frozenset("nav footer aside form menu button select dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+LAYOUT = frozenset("site page main global top bottom left right primary secondary".split())
+#: Elements that are judged by their name and not by their marks.
+WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Where a line stands.
 ASIDE_LINE, BODY_LINE, MAIN_LINE, ARTICLE_LINE = range(4)
+#: While a page is read: within an element whose class is a mark; in an article there, which counts if there is no other.
+HIDDEN_LINE, WRAPPED_LINE = -1, 4
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role name something other than content."""
+def _named(name: str) -> bool:
+    """Whether a class or id is a mark, or begins with one after words of layout."""
+    if name in MARKS:
+        return True
+    tokens = re.split(r"[_-]+", name)
+    return next((t in MARKS for t in tokens if t not in LAYOUT), False)
+
+
+def _marked(attributes: str) -> str:
+    """'class' or 'role' where class or id, or else role or hiding, name something other than content; '' otherwise."""
+    out = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and any(t in MARKS for t in re.split(r"[\s_-]+", value)):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
+            return "role"
+        if name in ("class", "id") and any(map(_named, value.split())):
+            out = "class"
+    return "role" if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) else out
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
@@ -91,7 +105,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             held.append(" ")
             continue
         if name in VOID and name != "hr" or name not in BLOCKS and not (closing and any(n == name for n, _ in opened)):
-            if not closing and name not in VOID and where != ASIDE_LINE and attributes and _marked(attributes):
+            if not closing and name not in VOID and where > ASIDE_LINE and attributes and _marked(attributes):
                 flush()
                 opened.append((name, where))
                 where = ASIDE_LINE
@@ -109,21 +123,27 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                     break
             continue
         if name in ("p", "hr"):
-            if where != ASIDE_LINE and name == "p" and _marked(attributes):
+            if where > ASIDE_LINE and name == "p" and _marked(attributes):
                 opened.append((name, where))
                 where = ASIDE_LINE
             continue
         opened.append((name, where))
-        if name in ASIDE or _marked(attributes) or name == "header" and where < MAIN_LINE:
-            where = ASIDE_LINE
-        elif name == "body":
+        mark = _marked(attributes)
+        if name == "body":
             where = BODY_LINE
-        elif where != ASIDE_LINE and name == "article":
+        elif name == "article" and where == HIDDEN_LINE and not mark:
+            where = WRAPPED_LINE
+        elif name == "article" and ASIDE_LINE < where < WRAPPED_LINE:
             where = ARTICLE_LINE
+        elif name in ASIDE or name == "header" and ASIDE_LINE <= where < MAIN_LINE or mark == "role" and name not in WHOLE:
+            where = ASIDE_LINE
+        elif mark and name not in WHOLE:
+            where = HIDDEN_LINE if where in (BODY_LINE, MAIN_LINE, HIDDEN_LINE) else ASIDE_LINE
         elif where == BODY_LINE and (name == "main" or re.search(r"role\s*=\s*[\"']?main\b", attributes or "")):
             where = MAIN_LINE
     flush()
-    return out
+    wrapped = ASIDE_LINE if any(w == ARTICLE_LINE for w, _ in out) else ARTICLE_LINE
+    return [(wrapped if w == WRAPPED_LINE else max(w, ASIDE_LINE), t) for w, t in out]
 
 
 def common(a: list, b: list) -> list[bool]:

@@ -351,6 +351,20 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_marks():
+    def best(body):
+        lines = html_text.lines_of(body)
+        return [t for w, t in lines if w and w == max(w for w, _ in lines)]
+
+    assert best('<html class="no-nav"><body class="has-sidebar"><p>text</p><div class="sidebar"><p>side</p></div></body></html>') == ["text"]
+    assert best('<body><article class="post has-comments"><p>text</p><div class="comments-area">c</div></article></body>') == ["text"]
+    assert best('<article id="related-work"><p>text</p></article>') == ["text"]
+    assert best('<main class="nav"><p>text</p></main>') == ["text"]
+    assert best('<div class="sidebar-left"><article><p>text</p><aside>a</aside></article></div>') == ["text"]
+    assert best('<article><p>text</p></article><div class="comments"><article class="comment"><p>no</p></article><article><p>no</p></article></div>') == ["text"]
+    assert best('<p>text</p><div class="ad-slot">no</div><div class="site-footer">no</div><div class="with-banner">too</div><div hidden>no</div><div class="x" role="banner">no</div>') == ["text", "too"]
+
+
 def test_html_copies_and_slices(spark):
     """Copies do not delete each other, neighbours meet across slices, and shared lines go from marked regions too."""
     cases = [
