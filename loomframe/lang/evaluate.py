@@ -22,6 +22,10 @@ from .parser import Node, ParseError, parse
 NA = float("nan")
 
 
+#: Values of a vector, which is held by the driver.
+MOST_VALUES = 100_000
+
+
 @dataclass
 class Frame:
     """A source with an order, and named expressions over it."""
@@ -465,7 +469,9 @@ class Evaluator:
         for a in args:
             if isinstance(a, Frame):
                 df = a.ordered()
-                rows = df.orderBy(*(c for c in df.columns if c.startswith("_o"))).limit(100_000).collect()
+                rows = df.orderBy(*(c for c in df.columns if c.startswith("_o"))).limit(MOST_VALUES + 1).collect()
+                if len(rows) > MOST_VALUES:
+                    self.fail(f"c() of a column of more than {MOST_VALUES} rows", node)
                 out += [NA if v is None else float(v) for n in range(len(a.cols)) for v in (r[n] for r in rows)]
             else:
                 out += a if isinstance(a, list) else [a]

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 #: The fixed part of an AUC's thresholds.
 STEPS = [i / 50 for i in range(51)]
+#: Of a confusion matrix, which has the square of it as rows.
+MOST_LEVELS = 10_000
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """(actual, predicted, n) over the union of both domains with NA; absent pairs have n = 0."""
     pair = df.select(F.coalesce(F.col(actual).cast("string"), F.lit("NA")).alias("actual"), F.coalesce(F.col(predicted).cast("string"), F.lit("NA")).alias("predicted"))
     counts = pair.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
-    levels = sorted({x for r in counts.select("actual", "predicted").limit(1_000_000).collect() for x in r})
+    named = counts.select(F.explode(F.array("actual", "predicted")).alias("x")).distinct()
+    levels = sorted(r.x for r in named.limit(MOST_LEVELS + 1).collect())
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels")
     grid = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, levels))).alias("actual")).select("actual", F.explode(F.array(*map(F.lit, levels))).alias("predicted"))
     return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

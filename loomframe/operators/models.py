@@ -335,7 +335,7 @@ def gap_statistic(df: DataFrame, names: Sequence[str], k_max: int, b: int = 5, s
 
 
 def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str | None = None, ties: str = "efron", max_iter: int = 20, tol: float = 1e-9, max_times: int = 10_000) -> dict:
-    """Proportional hazards by Newton steps.  Each step aggregates by (start, stop) time, at most ``max_times`` of them.
+    """Proportional hazards by Newton steps.  Each step aggregates by stop time and by start time, at most ``max_times`` of each.
 
     Returns coef, se, loglik, n, events, iterations.
     """
@@ -359,6 +359,8 @@ def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str
         if len(one) > max_times:
             raise ValueError(f"more than {max_times} times")
         late = data.where("_s IS NOT NULL").groupBy("_s").agg(*sums(F.lit(True), "a")).orderBy(F.desc("_s")).limit(max_times + 1).collect() if start else []
+        if len(late) > max_times:
+            raise ValueError(f"more than {max_times} start times")
 
         def unpack(row, prefix):
             m = np.zeros((k, k))

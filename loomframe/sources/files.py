@@ -152,7 +152,7 @@ def read_svmlight(spark: SparkSession, paths: list[str], width: int | None = Non
     """``target`` and C1..Ck from ``target [qid:n] col:value ...`` lines; cells that are not named are 0."""
     text = spark.read.text(paths).where("trim(value) <> '' AND NOT trim(value) LIKE '#%'")
     parts = F.split(F.trim(F.split("value", "#")[0]), r"\s+")
-    rows = text.select(parts[0].cast("double").alias("target"), F.map_from_entries(F.transform(F.filter(F.slice(parts, 2, 1_000_000), lambda p: ~p.startswith("qid:")), lambda p: F.struct(F.split(p, ":")[0].cast("int"), F.split(p, ":")[1].cast("double")))).alias("cells"))
+    rows = text.select(parts[0].cast("double").alias("target"), F.map_from_entries(F.transform(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: ~p.startswith("qid:")), lambda p: F.struct(F.split(p, ":")[0].cast("int"), F.split(p, ":")[1].cast("double")))).alias("cells"))
     k = width or rows.agg(F.max(F.array_max(F.map_keys("cells")))).first()[0] or 0
     return rows.select("target", *(F.coalesce(F.try_element_at("cells", F.lit(i)), F.lit(0.0)).alias(f"C{i}") for i in range(1, k + 1)))
 

@@ -1,3 +1,4 @@
+import importlib
 import math
 
 import pytest
@@ -87,3 +88,13 @@ def test_errors(s, text):
 def test_caret():
     with pytest.raises(ParseError, match=r"\n1 \+\n   \^"):
         parse("1 +")
+
+
+def test_c_of_a_long_column_is_an_error(s, monkeypatch):
+    evaluate = importlib.import_module("loomframe.lang.evaluate")
+
+    monkeypatch.setattr(evaluate, "MOST_VALUES", 6)
+    assert s.run("c(h$x)") == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    monkeypatch.setattr(evaluate, "MOST_VALUES", 5)
+    with pytest.raises(ParseError):
+        s.run("c(h$x)")

@@ -146,3 +146,13 @@ def test_cox_against_a_direct_likelihood(spark):
 
     b = m["coef"]["x"]
     assert loglik(b) > loglik(b + 1e-3) and loglik(b) > loglik(b - 1e-3)
+
+
+def test_bounds_are_errors(spark, monkeypatch):
+    rows = [(10 + i % 2, i % 2, float(i), i) for i in range(8)]
+    df = spark.createDataFrame(rows, "t int, e int, x double, s int")
+    with pytest.raises(ValueError, match="start times"):
+        models.coxph(df, "t", "e", ["x"], start="s", max_times=4)
+    monkeypatch.setattr(metrics, "MOST_LEVELS", 7)
+    with pytest.raises(ValueError, match="levels"):
+        metrics.confusion_matrix(df, "s", "t")

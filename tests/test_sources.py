@@ -48,3 +48,10 @@ def test_created_frames_do_not_depend_on_partitions(spark):
     a = create_frame(spark, 200, 6, seed=3).collect()
     b = create_frame(spark, 200, 6, seed=3).repartition(5).orderBy("id").collect()
     assert sorted(a) == sorted(b) if all(None not in r for r in a) else {tuple(r) for r in a} == {tuple(r) for r in b}
+
+
+def test_svmlight_rows_are_whole(spark, tmp_path):
+    path = tmp_path / "wide.svm"
+    path.write_text("1 " + " ".join(f"{i}:0" for i in range(3, 1_000_003)) + " 1:7 # end\n2 qid:4 2:5\n3\n")
+    got = files.read_svmlight(spark, [str(path)], 2).collect()
+    assert [(r.target, r.C1, r.C2) for r in got] == [(1.0, 7.0, 0.0), (2.0, 0.0, 5.0), (3.0, 0.0, 0.0)]
