@@ -11,6 +11,7 @@ whose document is missing, is ignored; without labels of both classes the trees
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,12 +59,13 @@ def features(text: str, base: tuple) -> list[float]:
     n, chars, symbols, dup, repeat, words = base
     lines = text.count("\n") + 1
     size = max(1, chars)
-    upper = sum(map(str.isupper, text)) if n < 64 else len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_UPPER))
+    upper = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_UPPER)) + sum(map(str.isupper, "".join(_NOT_ASCII.findall(text))))
     digits = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_DIGIT))
     ends = sum(1 for w in words if w[-1] in b".,;:?!")
     return [np.log1p(n), chars / max(1, n), symbols / size, dup / lines, repeat / max(1, n), upper / size, digits / size, text.count("!") / max(1, n), text.count("|") / max(1, n), len(set(words)) / max(1, n), n / lines, ends / max(1, n)]
 
 
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
 

@@ -423,6 +423,13 @@ def test_quality(spark, docs, texts, none):
     assert quality.QualityRules.fit(df.select("doc_id", "text"), labels.limit(0)).threshold == 0.0
 
 
+def test_capitals_are_one_feature_at_all_lengths():
+    at = list(quality.FEATURES).index("upper_share")
+    for n in (1, 63, 64, 500):
+        text = " ".join(["ÉÀa", "Zß漢"] * n)[: 4 * n - 1]  # n words
+        assert quality.features(text, (n, len(text), 0, 0, 0, text.encode().split()))[at] == pytest.approx(sum(map(str.isupper, text)) / len(text))
+
+
 def test_forest_is_monotone():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 3))
