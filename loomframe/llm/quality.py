@@ -70,8 +70,21 @@ _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
 
 
-def base_failed(n: int, repeat: int) -> bool:
-    return n < 50 or 100 * repeat > 50 * n
+def base_failed(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    return (n < 50) | (100 * repeat > 50 * n)
+
+
+def measured(texts: pa.Array, with_features: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Base statistics and features, a row for each text; only one text's words are held at a time."""
+    base = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
+    x = np.zeros((len(texts), len(FEATURES)))
+    for k, text in enumerate(texts):
+        text = text.as_py()
+        own = counts(text)
+        base[k] = own[:5]
+        if with_features:
+            x[k] = features(text, own)
+    return base, x
 
 
 @dataclass
@@ -88,11 +101,11 @@ class QualityRules:
         The threshold is the largest (0.5 at most) that rejects no more than ``max_clean_loss`` of the good documents
         held out.
         """
-        chosen = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+        chosen = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
         chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_train_rows)
-        stats = statistics(docs.join(F.broadcast(chosen.select(F.col("_id").alias(id_col))), id_col, "left_semi"), id_col=id_col, text_col=text_col, with_features=True)
+        stats = statistics(docs.join(F.broadcast(chosen), F.col(f"`{id_col}`").cast("long") == chosen["_id"], "left_semi"), id_col=id_col, text_col=text_col, with_features=True)
         sample = stats.join(F.broadcast(chosen), stats["_id"] == chosen["_id"]).select(stats["_id"], "_y", "features", "n_words", "n_repeat_words").dropDuplicates(["_id"]).limit(max_train_rows).toArrow()
-        failed = np.array([base_failed(n, r) for n, r in zip(sample["n_words"].to_pylist(), sample["n_repeat_words"].to_pylist(), strict=True)], dtype=bool)
+        failed = base_failed(sample["n_words"].to_numpy(), sample["n_repeat_words"].to_numpy()).astype(bool)
         ids, y = np.array(sample["_id"].to_pylist(), dtype=np.int64)[~failed], np.array(sample["_y"].to_pylist(), dtype=float)[~failed]
         if not len(y) or y.min() == y.max():
             return QualityRules(boosting.constant(4.0), 0.0)
@@ -113,15 +126,13 @@ def statistics(docs: DataFrame, rules: QualityRules | None = None, *, id_col="do
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            base = [counts(t) for t in texts]
-            failed = np.array([base_failed(b[0], b[4]) for b in base], dtype=bool)
-            columns = [batch.column(0), *(pa.array([b[i] for b in base], pa.int64()) for i in range(5)), pa.array(failed)]
-            x = [features(t, b) for t, b in zip(texts, base, strict=True)] if with_features or rules else []
+            base, x = measured(batch.column(1), with_features or bool(rules))
+            failed = base_failed(base[:, 0], base[:, 4])
+            columns = [batch.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed)]
             if with_features:
-                columns.append(pa.array(x, pa.list_(pa.float64())))
+                columns.append(pa.array(list(x), pa.list_(pa.float64())))
             if rules:
-                p = rules.forest.probability(np.array(x).reshape(len(texts), len(FEATURES)))
+                p = rules.forest.probability(x)
                 columns += [pa.array(p), pa.array(~failed & (p >= rules.threshold))]
             yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
@@ -131,16 +142,12 @@ def statistics(docs: DataFrame, rules: QualityRules | None = None, *, id_col="do
 def filter_documents(docs: DataFrame, rules: QualityRules, *, text_col="text") -> DataFrame:
     """The documents that the rules keep, all columns as they were.
 
-    A pandas UDF that returns only the verdict keeps it one narrow pass: no join brings the verdicts back.
+    A UDF that returns only the verdict keeps it one narrow pass: no join brings the verdicts back.
     """
 
-    @F.pandas_udf("boolean")
-    def verdict(texts):
-        base = [counts(t) for t in texts]
-        failed = np.array([base_failed(b[0], b[4]) for b in base], dtype=bool)
-        p = rules.forest.probability(np.array([features(t, b) for t, b in zip(texts, base, strict=True)]).reshape(len(base), len(FEATURES)))
-        import pandas as pd
-
-        return pd.Series(~failed & (p >= rules.threshold))
+    @F.arrow_udf("boolean")
+    def verdict(texts: pa.Array) -> pa.Array:
+        base, x = measured(texts, True)
+        return pa.array(~base_failed(base[:, 0], base[:, 4]) & (rules.forest.probability(x) >= rules.threshold))
 
-    return docs.where(verdict(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.where(verdict(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
