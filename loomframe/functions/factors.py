@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frame import with_rows
+
 #: More levels than this and a column is not taken for a factor.
 MOST_LEVELS = 1_000_000
 
@@ -12,13 +14,7 @@ MOST_LEVELS = 1_000_000
 def levels(df: DataFrame, column: str) -> DataFrame:
     """One row per level with its code, sorted by level."""
     found = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("level")).distinct()
-    return found.select("level", (F.row_number().over(_by_level()) - 1).cast("long").alias("code"))
-
-
-def _by_level():
-    from pyspark.sql import Window
-
-    return Window.orderBy("level")
+    return with_rows(found, ["level"], "code").withColumn("code", F.col("code") - 1)
 
 
 def domain(df: DataFrame, column: str, most: int = MOST_LEVELS) -> list[str]:

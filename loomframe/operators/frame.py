@@ -2,16 +2,21 @@
 
 Frames have no order of their own: everything that goes by row position takes order columns, whose combination must
 be unique.  ``with_rows`` numbers rows from 1 without a single-task window: ranges of the order are dealt to tasks,
-each counts its rows, and the tasks' offsets (one number each) come back as a small join.
+sorted there and stored; each stored range counts its rows, and the offsets (one number each) come back as a small join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
+#: Rows of one window of ``diff``.
+DIFF_BLOCK = 1 << 16
 #: Row gathers by list are limited, since the list is sent to every task.
 MOST_ROWS = 10_000_000
 
@@ -19,11 +24,12 @@ MOST_ROWS = 10_000_000
 def with_rows(df: DataFrame, order: Sequence[str | Column], to: str = "row") -> DataFrame:
     """``to``: the place of each row from 1, by the order columns."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn(to, within).join(F.broadcast(before), "_part").withColumn(to, (F.col(to) + F.col("_before")).cast("long")).drop("_part", "_before")
+    # stored, since ranges that are computed twice need not be cut alike: their bounds are sampled and adaptively merged
+    dealt = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("__part")).count()
+    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    return dealt.join(F.broadcast(before), part == before["__part"]).withColumn(to, (within + F.col("__before") + 1).cast("long")).drop("__at", "__part", "__before")
 
 
 def column(df: DataFrame, name: str) -> DataFrame:
@@ -184,12 +190,15 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 def diff(df: DataFrame, column: str, order: Sequence[str], lag: int = 1, differences: int = 1) -> DataFrame:
     """Repeated lagged differences; the first lag * differences rows go.
 
-    Rows are numbered and shifted copies of the one column joined by number, so no task holds the whole column.
+    Rows are numbered and windowed in blocks of the order, each with the last rows of the block before it, so no task
+    holds the whole column.
     """
-    from math import comb
-
-    numbered = with_rows(df.select(*dict.fromkeys([*order, column])), order, "_row").select("_row", *order, F.col(column).cast("double").alias("_x"))
-    shifted = F.explode(F.array(*(F.struct((F.col("_row") + i * lag).alias("r"), (F.lit(float((-1) ** i * comb(differences, i))) * F.col("_x")).alias("t"), F.lit(i).alias("i")) for i in range(differences + 1)))).alias("s")
-    terms = numbered.select(shifted).groupBy("s.r").agg(F.sum("s.t").alias("diff"), F.count("s.t").alias("_n"), F.max((F.col("s.i") == 0).cast("int")).alias("_own"))
-    out = terms.where(f"_own = 1 AND r > {lag * differences}").select("r", F.when(F.col("_n") == differences + 1, F.col("diff")).alias("diff"))
-    return numbered.join(out, numbered["_row"] == out["r"]).select(*order, "diff")
+    reach = lag * differences
+    block = max(DIFF_BLOCK, reach)
+    numbered = with_rows(df.select(*dict.fromkeys([*order, column])), order, "_row").withColumn("_x", F.col(f"`{column}`").cast("double"))
+    own = F.floor((F.col("_row") - 1) / block)
+    last = F.pmod(F.col("_row") - 1, F.lit(block)) >= block - reach
+    blocks = numbered.withColumn("_own", own).withColumn("_block", F.explode(F.when(last, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    window = Window.partitionBy("_block").orderBy("_row")
+    terms = [F.lit(float((-1) ** i * comb(differences, i))) * (F.lag("_x", i * lag).over(window) if i else F.col("_x")) for i in range(differences + 1)]
+    return blocks.withColumn("diff", sum(terms[1:], terms[0])).where(f"_block = _own AND _row > {reach}").select(*(F.col(f"`{c}`") for c in order), "diff")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "loomframe", **conf: str) -> SparkSession:
@@ -15,3 +17,20 @@ def session(app: str = "loomframe", **conf: str) -> SparkSession:
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints: the cluster's ``spark.checkpoint.dir``; only a local session may have one of its own."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomframe-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: what reads it later costs no recomputation when an executor is lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

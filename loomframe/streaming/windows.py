@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts and sums by event-time window and type; rows later than the watermark are dropped by the engine."""
@@ -16,14 +18,14 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 hour") ->
 
 
 def windowed_once(spark: SparkSession, path: str) -> DataFrame:
-    """All files at the path as one finished stream (available-now trigger), complete output."""
+    """All files at the path as one finished stream (available-now trigger); its output is a table in the shared folder."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if _is_file(spark, path) else path)
-    sink = f"w{uuid.uuid4().hex}"
-    run = windowed(stream).writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
+    out = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    run = windowed(stream).writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(sink)
+    return spark.read.parquet(f"{out}/table")
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:

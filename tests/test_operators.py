@@ -21,6 +21,15 @@ def test_rows_by_order(spark, df):
         frame.cell(df, ["k"], 99, "k")
 
 
+def test_rows_over_many_wide_ranges(spark):
+    """Adaptive merging of ranges, several of them, rows of 250 bytes: every row once, and in order."""
+    n = 3_000_000
+    wide = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("k"), F.rpad(F.xxhash64("id").cast("string"), 250, "x").alias("pad"))
+    numbered = frame.with_rows(wide, ["k"]).select("k", "row", F.length("pad").alias("w"))
+    got = numbered.agg(F.count("*"), F.sum((F.col("row") != F.col("k") + 1).cast("int")), F.min("w")).first()
+    assert tuple(got) == (n, 0, 250)
+
+
 def test_binding(spark, df):
     both = frame.cbind(df.select("k"), df.select("k", "x"), 2.0, order=[["k"], ["k"]])
     assert both.columns == ["k", "k0", "x", "C3"] and both.count() == 40
@@ -40,6 +49,8 @@ def test_assignment(spark, df):
 def test_diff(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(10)], "k int, x double")
     assert [r["diff"] for r in frame.diff(df, "x", ["k"], 1, 2).orderBy("k").collect()] == [2.0] * 8
+    many = spark.range(200_000).select("id", F.pow("id", 2).cast("double").alias("x"))
+    assert frame.diff(many, "x", ["id"], 3, 2).where("diff <> 18").count() == 0 and frame.diff(many, "x", ["id"], 3, 2).count() == 199_994
     assert [r["diff"] for r in frame.diff(df, "x", ["k"], 2).orderBy("k").collect()] == [float(i * i - (i - 2) ** 2) for i in range(2, 10)]
 
 
