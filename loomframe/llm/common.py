@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Words are runs of anything but these bytes: space, tab, \n, \v, \f, \r.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Upper-case ASCII to lower-case ASCII, nothing else.
@@ -25,21 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``; a local one only where it is unset."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"/tmp/loomframe-checkpoints-{uuid.uuid4().hex}")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later stages read it from shared storage, so a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
+
+
+def unique(rows: DataFrame) -> DataFrame:
+    """One text for each id: the one that sorts first, where ids repeat."""
+    if rows.groupBy("_id").count().where("count > 1").limit(1).count():
+        return cut(rows.groupBy("_id").agg(F.min("_text").alias("_text")))
+    return rows
+
+
+def slices(batches, most: int):
+    """The same rows in batches of about ``most`` bytes of text (the second column), which bounds what is made from each."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        edges = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, shuffle_width
+from .common import cut, id_text, shuffle_width, unique
 from .ngram_join import scramble
 
 K = 32
@@ -356,16 +356,9 @@ def _merged(spans: list, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def _unique(rows: DataFrame) -> DataFrame:
-    """One text for each id: the one that sorts first, where ids repeat."""
-    if rows.groupBy("_id").count().where("count > 1").limit(1).count():
-        return cut(rows.groupBy("_id").agg(F.min("_text").alias("_text")))
-    return rows
-
-
 def deduplicate(docs: DataFrame, *, id_col="doc_id", text_col="text", n=100, **options) -> DataFrame:
     """_id, n_bytes, spans (removed runs, maximal, of bytes) and kept (the remaining bytes) of each distinct id."""
-    rows = _unique(id_text(docs, id_col, text_col).where("_id IS NOT NULL"))
+    rows = unique(id_text(docs, id_col, text_col).where("_id IS NOT NULL"))
     spans = repeated_spans(rows, n=n, **options).groupBy("_doc").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
@@ -394,7 +387,7 @@ def _without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", n=100, **options) -> DataFrame:
     """The documents, all columns as they were but the text, which loses its removed bytes (and what is left of a cut
     character).  Rows with a null id, a null text, or another text than the first of their id stay as they are."""
-    rows = _unique(id_text(docs, id_col, text_col).where("_id IS NOT NULL"))
+    rows = unique(id_text(docs, id_col, text_col).where("_id IS NOT NULL"))
     spans = repeated_spans(rows, n=n, **options).groupBy("_doc").agg(F.collect_list(F.struct("_low", "_high")).alias("_spans"))
     spans = spans.join(rows.select(F.col("_id").alias("_doc"), F.xxhash64("_text").alias("_key")), "_doc")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
