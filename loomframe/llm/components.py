@@ -1,13 +1,15 @@
 """Connected components of a link table, by repeated joins; nothing is collected.
 
-Every round each link (u, v), u > v, is replaced by links to the smallest neighbours of both ends, which halves the
-distance to the component's smallest id at least.  Both joins read checkpointed tables, so that adaptive execution can
+Each task first puts its own links together.  Then every round replaces each link (u, v), u > v, by links to the smallest
+neighbours of both ends, which halves the distance to the component's smallest id at least, until no id that is
+linked to a smaller one has another link.  Both joins read checkpointed tables, so that adaptive execution can
 split a hub's partition, and every round survives the loss of executors.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,22 @@ from .common import cut
 
 
 def _links(df: DataFrame) -> DataFrame:
-    return cut(df.where("_u <> _v").select(F.greatest("_u", "_v").alias("_u"), F.least("_u", "_v").alias("_v")).distinct())
+    """Distinct links (u, v), u > v, put together by task."""
 
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            node, least = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_pydict({"_u": node, "_v": least})
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(20,0)"))).first())
+    ordered = df.where("_u <> _v").select(F.greatest("_u", "_v").alias("_u"), F.least("_u", "_v").alias("_v")).distinct()
+    return cut(ordered.mapInArrow(run, "_u long, _v long"))
+
+
+def _open(links: DataFrame) -> bool:
+    """Whether an id that is linked to a smaller one has another link."""
+    ends = links.select(F.col("_u").alias("id"), F.lit(1).alias("up")).union(links.select("_v", F.lit(0)))
+    return bool(ends.groupBy("id").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 AND n > 1").head(1))
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,17 +42,13 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rows with a null end are ignored.
     """
     now = _links(links.select(F.col(a).cast("long").alias("_u"), F.col(b).cast("long").alias("_v")).where("_u IS NOT NULL AND _v IS NOT NULL"))
-    mark = _mark(now)
-    while mark[0]:
+    while _open(now):
         least = cut(now.groupBy("_u").agg(F.min("_v").alias("_m")))
         of_u = least.select(F.col("_u"), F.col("_m").alias("_mu"))
         of_v = least.select(F.col("_u").alias("_v"), F.col("_m").alias("_mv"))
         ends = now.join(of_u, "_u").join(of_v, "_v", "left").select("_u", "_mu", F.coalesce("_mv", "_v").alias("_mv"))
         pairs = ends.select(F.explode(F.array(F.struct(F.col("_u"), F.least("_mu", "_mv").alias("_v")), F.struct(F.col("_mu").alias("_u"), F.col("_mv").alias("_v")))).alias("p"))
-        then = _links(pairs.select("p._u", "p._v"))
-        now, before, mark = then, mark, _mark(then)
-        if mark == before:
-            break
+        now = _links(pairs.select("p._u", "p._v"))
     return now.select(F.col("_u").alias("node"), F.col("_v").alias("component"))
 
 

@@ -11,13 +11,13 @@ them k times at least, and probes the long ones by binary search until T is met
   drops out here.
 * Merge.  Sets that are equal become one representative.  The short lists are merged by a shuffle sorted by shingle; the
   occurrences of each pair are added up, and pairs under their k drop out.
-* Skip.  Pairs that sketches (odd bits, whose Hamming distance never exceeds the number of shingles that differ) do not rule
-  out are probed: one set's shingles are searched in the other's, in steps that end when too many are missing.
+* Skip.  Pairs are probed: one set's shingles are searched in the other's, in steps that end when too many are missing.
 
 No list is expanded into all its pairs.  In one longer than ``small`` each document meets the list's last differing head;
 those links are verified and their components found.  Then only documents outside a list's largest component ask the
-others, in blocks of ``block``, behind the filters of sizes and sketches: two rounds over an eighth of the lists with a few
-partners each, a last one over all.  So a group of copies costs about its own size.
+others, in blocks of ``block``, behind the filters of sizes and sketches (odd bits, whose Hamming distance never exceeds
+the number of shingles that differ): a round over a quarter of the lists with a few partners each, then one over all.  So a
+group of copies costs about its own size.
 
 Defined cases: a null text is empty; a text without words has no set and links with nothing; a text of one or two
 words has its whole sequence as one shingle; repeated rows of an id keep the text that sorts first; rows with a null
@@ -326,7 +326,7 @@ def _merged(postings: DataFrame, t: int, small: int) -> DataFrame:
     return postings.select("_token", "_n", "_rep").repartition("_token").sortWithinPartitions("_token", "_n", "_rep").mapInArrow(run, "_kind int, _a long, _b long, _token long, _number long, _least long")
 
 
-# -- skip: sketches and probes ------------------------------------------------------------------------------------
+# -- skip ---------------------------------------------------------------------------------------------------------
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -342,24 +342,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.join(wanted, "_id", "left_semi").select("_id", "_text").mapInArrow(run, "_rep long, _n long, _sketch binary, _set binary")
 
 
-def _sketched(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs that their sketches do not rule out; the filter is exact, and a sketch is much smaller than a set."""
-    side = lambda c: sets.select(F.col("_rep").alias(c), F.col("_n").alias(f"_n{c}"), F.col("_sketch").alias(f"_s{c}"))
-    both = pairs.join(side("_a"), "_a").join(side("_b"), "_b").select("_a", "_b", "_n_a", "_n_b", "_s_a", "_s_b")
-    schema = pa.schema([("_a", pa.int64()), ("_b", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            apart = np.zeros(batch.num_rows, dtype=np.int64)
-            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                words = min(len(x), len(y)) // 8
-                apart[k] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()
-            near = apart * (100 + t) <= (100 - t) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], schema=schema)
-
-    return cut(both.mapInArrow(run, "_a long, _b long"))
-
-
 def probed(head: np.ndarray, own: np.ndarray, t: int, step: int = 512) -> bool:
     """Whether two sorted sets meet the similarity: one is searched in the other, until too many are missing."""
     least = -(-t * (len(head) + len(own)) // (100 + t))
@@ -471,13 +453,13 @@ def ngram_join(docs: DataFrame, *, id_col="doc_id", text_col="text", percent=90,
     wanted = found.select(F.col("_a").alias("_id")).union(found.select("_b")).where("_id IS NOT NULL").distinct()
     sets = cut(_sets(rows, wanted, width))
     pairs = found.where(F.col("_kind") != MEMBER).select("_a", "_b").distinct()
-    parts = connected(_verified(_sketched(pairs, sets, percent), sets, percent), "_a", "_b")
+    parts = connected(_verified(pairs, sets, percent), "_a", "_b")
     members = found.where(F.col("_kind") == MEMBER).select("_token", F.col("_a").alias("_rep"))
     if members.head(1):
-        for test in ("pmod(_token, 8) = 0", "pmod(_token, 8) = 1", "true"):
+        for test in ("pmod(_token, 4) = 0", "true"):
             rest = cut(_apart(members.where(test), sets, parts, percent, block, test != "true").distinct())
             if rest.head(1):
-                links = _verified(_sketched(rest, sets, percent), sets, percent)
+                links = _verified(rest, sets, percent)
                 parts = connected(parts.select(F.col("node").alias("_a"), F.col("component").alias("_b")).union(links), "_a", "_b")
     reps = classes.select("_n", "_f1", "_f2", "_rep").join(parts, F.col("_rep") == parts["node"], "left").select("_n", "_f1", "_f2", F.coalesce("component", "_rep").alias("component_id"))
     return signs.join(reps, ["_n", "_f1", "_f2"], "left").select("_id", F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
