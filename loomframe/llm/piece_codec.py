@@ -33,6 +33,10 @@ SIGN = "▁"
 UNIT = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
 #: Merges of blank runs have this rank; all others come before.
 LAST = np.iinfo(np.int32).max - 2
+#: Slots for answers on pairs of pieces: 8 MB.
+KEPT_BITS = 20
+#: Characters of new units that are encoded together.
+BLOCK = 250_000
 
 
 class Vocabulary:
@@ -57,6 +61,7 @@ class Vocabulary:
         self.rank = rank
         self.left, self.right = np.arange(n), np.arange(n)
         self.valid = np.zeros(n, dtype=bool)
+        self.kept = np.full(1 << KEPT_BITS, -1, dtype=np.int64)
         for piece, i in self.ids.items():
             made, last = self.merge(piece)
             self.valid[i] = made == [i]
@@ -112,7 +117,19 @@ class Vocabulary:
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging by rank leaves the pieces a, b (each already merged) apart.
+        """Whether merging by rank leaves the pieces a, b (each already merged) apart; answers are kept, one for each slot."""
+        key = a << 20 | b
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - KEPT_BITS)).astype(np.intp)
+        kept = np.take(self.kept, slot)
+        out = kept & 1 == 1
+        new = np.flatnonzero(kept >> 1 != key)
+        if len(new):
+            out[new] = self.walked(a[new], b[new])
+            self.kept[slot[new]] = key[new] << 1 | out[new]
+        return out
+
+    def walked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As ``compatible``, by the pieces' split trees.
 
         Walks down the two split trees along the boundary, the later-made piece first; a merge over the boundary that
         would have come earlier than the pieces around it joins them.
@@ -294,7 +311,7 @@ class Encoder:
         start = 0
         while start < len(plain):
             stop, chars = start, 0
-            while stop < len(plain) and (stop == start or chars < 100_000):
+            while stop < len(plain) and (stop == start or chars < BLOCK):
                 chars += len(plain[stop]) + 1
                 stop += 1
             self.seen.update(zip(plain[start:stop], encode_units(plain[start:stop], self.v), strict=True))
