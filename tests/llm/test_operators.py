@@ -249,65 +249,80 @@ def test_mixing(spark, docs, texts, none):
     assert context_mixing.score_documents(none.select("doc_id", "text")).count() == 0
 
 
+def mixed_batch(texts, train=False, counts=None):
+    """A batch by itself; counts: of words and of pairs, None for the end and the begin."""
+    words, pairs = counts or ({}, {})
+    n = len(texts)
+    batch = context_mixing.Batch(context_mixing.tokenised(texts) | {"ids": np.arange(n), "valid": np.ones(n), "keys": np.arange(n), "train": np.full(n, train)})
+    batch.asks(6)
+    names = [*batch.words(), None, None]
+    batch.c1 = np.array([words.get(w, 0) for w in names])
+    batch.c2 = np.array([pairs.get((names[a], names[b]), 0) for a, b in zip(*batch.pairs, strict=True)])
+    return batch
+
+
+def plain_counts(texts):
+    words, pairs = {}, {}
+    for t in texts:
+        row = [None, *brute.lower(t.decode()).encode().split(), None]
+        for x, y in zip(row, row[1:], strict=False):
+            words[y] = words.get(y, 0) + 1
+            pairs[x, y] = pairs.get((x, y), 0) + 1
+    return words, pairs
+
+
 def test_mixing_is_a_distribution():
-    """All continuations of a context share one unit of probability."""
-    histogram = np.ones(257, dtype=np.int64)
-    histogram[97:101] = 500
-    code = context_mixing.Code(histogram)
+    """All texts share one unit of probability: no set of them has more."""
     rng = np.random.default_rng(0)
-    mixer = context_mixing.Mixer(code, rng.normal(size=(3, context_mixing.SLOTS)).astype(np.float32))
-    every = [bytes([b]) for b in range(256)]
-    p = 10.0 ** mixer.score([b""])[0]  # ends at once
-    first = {b: 10.0 ** (mixer.score([b])[0]) for b in every}
-    # a one-byte text is that byte and then the end
-    assert 0 < p + sum(first.values()) <= 1.0 + 1e-4
-    alone = mixer.score([b"some text", b""])
-    assert alone[0] == pytest.approx(mixer.score([b"x", b"some text"])[1], rel=1e-5)
-
-
-def test_mixing_counts_every_context(spark):
-    """No two contexts share a count, and every training text's decisions are counted, whatever the batches."""
+    code = context_mixing.Code(np.append(np.bincount(list(b"abcd" * 9), minlength=256), 20))
+    corpus = [b"a b", b"a b", b"a c", b"b A"]
+    n = sum(len(t.split()) + 1 for t in corpus)
+    tables, letters = rng.integers(0, 9, (3, 2, context_mixing.KINDS * context_mixing.WIDTH)), rng.integers(0, 9, (3, 2, context_mixing.SLOTS))
+    mixer = context_mixing.Mixer(code, n, tables.astype(np.float32), letters.astype(np.float32))
+    every = [b"", *(bytes([x]) for x in range(256)), *(bytes([x, y]) for x in b"abA \n\t" for y in b"abA \n\t"), *(b"a " + bytes([x]) for x in range(256) if not bytes([x]).isspace())]
+    p = 10.0 ** mixer.score(mixed_batch(every, counts=plain_counts(corpus)))
+    assert 0.01 < p.sum() <= 1.0 + 1e-6 and (p > 0).all()
+    alone = mixer.score(mixed_batch([b"some text here", b""]))
+    assert alone[0] == pytest.approx(mixer.score(mixed_batch([b"x", b"some text here"]))[1], rel=1e-5)
+
+
+def test_mixing_counts_words_and_pairs(spark):
+    """Every training text's words and neighbours are counted, whatever the batches; what is known grows with the corpus."""
     rng = random.Random(4)
-    texts = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(300))).decode() for _ in range(60)]
-    df = spark.createDataFrame([(i, x, i % 7 != 2, i) for i, x in enumerate(texts)], "_id long, _text string, _train boolean, _key long").repartition(3)
-    code = context_mixing.Code(np.bincount(list("".join(texts).encode()), minlength=257))
-    paths = lambda b: list(zip(*(x[code.start[b] : code.start[b] + code.length[b]].tolist() for x in (code.gate, code.bit)), strict=True))
-    want: dict = {}
-    for i, x in enumerate(texts):
-        raw = [*x.encode(), context_mixing.END]
-        for at, b in enumerate(raw if i % 7 != 2 else []):
-            for node, bit in paths(b):
-                want.setdefault((tuple(raw[max(0, at - 4) : at]), at < 4, node), [0, 0])[bit] += 1
-    counted = context_mixing._with_counts(df, code, 5, 1000).collect()
-    batch = pa.RecordBatch.from_arrays([pa.array([bytes(r.rows) for r in counted], pa.binary()), pa.array([[bytes(b) for b in r.counts] for r in counted], pa.list_(pa.binary()))], names=["rows", "counts"])
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyZ") for _ in range(rng.randrange(80))) for _ in range(60)] + [None, "  ", "É é"]
+    df = spark.createDataFrame([(i, x or "", i % 7 != 2, i) for i, x in enumerate(texts)], "_id long, _text string, _train boolean, _key long").repartition(3)
+    words, pairs = plain_counts([(x or "").encode() for i, x in enumerate(texts) if i % 7 != 2])
+    counted = context_mixing._with_counts(context_mixing._blobs(df, 1000), 5)
+    table = counted.select("_blob", "_answers").toArrow()
     seen = 0
-    for _, raws, own, known in context_mixing._batches([batch], code, 5):
-        signs = context_mixing.signs_of(raws)[0].tolist()
-        doc = np.repeat(np.arange(len(raws)), own.ends - own.first)
-        for at, what in enumerate(own.what.tolist()):
-            begin = at - int(own.first[doc[at]])
-            for j, (node, _) in enumerate(paths(signs[at])):
-                got = known[1][:, own.place[1][own.start[what] + j]].tolist()
-                assert got == want.get((tuple(signs[at - min(4, begin) : at]), begin < 4, node), [0, 0])
-                seen += 1
-    assert len(counted) > 3 and seen > 60 * 100
+    for batch in context_mixing._batches(table.to_batches(), 5, words[None]):
+        names = [*batch.words(), None, None]
+        assert batch.c1.tolist() == [words.get(w, 0) for w in names]
+        assert batch.c2.tolist() == [pairs.get((names[a], names[b]), 0) for a, b in zip(*batch.pairs, strict=True)]
+        seen += len(batch.sizes)
+    assert seen == len(texts)
+    assert counted.agg(F.sum("_v")).first()[0] == len(words) - 1
 
 
 def test_mixing_learns_within_a_short_text():
     """A text of under a kilobyte that repeats itself gets cheaper, and a counted text is scored as if it were not."""
     rng = random.Random(9)
-    unit = bytes(rng.randrange(97, 123) for _ in range(150))
-    code = context_mixing.Code(np.bincount(list(unit), minlength=257))
-    mixer = context_mixing.Mixer(code)
-
-    def bits(text, train, extra=0):
-        batch = context_mixing.Batch([text], np.array([train]), code)
-        known = [np.stack(batch.counts(k)).astype(np.float32) + extra for k in range(3)]
-        return -mixer.score([text], batch, known, np.array([train]))[0] * math.log2(10)
-
-    once, often = bits(unit, False), bits(unit * 6, False)
-    assert often < 3 * once
-    assert bits(unit * 6, True) == pytest.approx(often, rel=1e-5)
+    unit = b" ".join(bytes(rng.randrange(97, 123) for _ in range(6)) for _ in range(20)) + b" "
+    code = context_mixing.Code(np.append(np.bincount(list(unit), minlength=256), 20))
+    bits = lambda text: -context_mixing.Mixer(code, 0).score(mixed_batch([text]))[0]
+    assert bits(unit * 6) < 1.5 * bits(unit)
+    texts = [b"One two three. One two", b"two three four", b"two three five"]
+    counts, others = plain_counts(texts), plain_counts(texts[1:])
+    n = sum(counts[0].values())
+    own = context_mixing.Mixer(code, n).score(mixed_batch(texts[:1], True, counts))[0]
+    assert own == pytest.approx(context_mixing.Mixer(code, sum(others[0].values())).score(mixed_batch(texts[:1], False, others))[0], rel=1e-5)
+    # spelled words of a training text are taken out of what the spelling has learnt
+    batch = mixed_batch([b"zzyzx"], True, plain_counts([b"zzyzx"]))
+    mixer = context_mixing.Mixer(code, 2)
+    before = mixer.score(batch)[0]
+    mixer.tables, mixer.letters = mixer.counts(batch)
+    mixer.tables[:] = 0
+    assert mixer.letters.sum() > 0 and mixer.score(batch)[0] == pytest.approx(before, rel=1e-5)
     place, owner, bit = np.array([1, 0, 1, 1, 1]), np.array([0, 0, 0, 1, 0]), np.array([1, 0, 1, 0, 0])
     known = np.array([[1, 5], [0, 7]], dtype=np.float32)
     want = [(5, 7), (1, 0), (5, 8), (5, 7), (5, 9)]
