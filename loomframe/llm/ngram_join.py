@@ -439,7 +439,7 @@ def _apart(members: DataFrame, sets: DataFrame, parts: DataFrame, t: int, block:
     return asked.union(asks).repartition("_token", "_i", "_j").sortWithinPartitions("_token", "_i", "_j").mapInArrow(run, "_a long, _b long")
 
 
-def ngram_join(docs: DataFrame, *, id_col="doc_id", text_col="text", percent=90, width=3, small=8, block=4096, range_mb=96) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col="doc_id", text_col="text", percent=90, width=3, small=8, block=1024, range_mb=96) -> DataFrame:
     """One row for each distinct id: _id, n_shingles, component_id (smallest id reachable by links).
 
     ``percent`` is the similarity, ``width`` the words of a shingle; ``range_mb`` of text go to each range of the count.
