@@ -2,8 +2,9 @@
 
 Each page is cut into text lines.  Pages of one host with the same lines are one class; the classes are numbered by
 (host, path), which ranges of them do in parallel, and neighbours meet by a join on the number, so that slices of the
-order do not matter; only 64-bit hashes of the lines travel for it.  A class's lines are aligned with those of the neighbour of its host that has the longer common path
-(longest common subsequence), and lines that both have are deleted, also inside articles and main regions; only a region
+order do not matter; only 64-bit hashes of the lines travel for it.  A class's lines are aligned with those of the
+neighbour of its host that has the longer common path (longest common subsequence, by bits, in bounded memory), and lines
+that both have are deleted, also inside articles and main regions; only a region
 whose lines all stand in the neighbour is a copy and kept whole.  Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms and comments are dropped although the neighbour lacks them.
 
@@ -21,9 +22,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frame import with_rows
 from .common import cut
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -158,15 +160,22 @@ def common(a: list, b: list) -> list[bool]:
         out[-1 - end] = True
         end += 1
     x, y = a[low : len(a) - end], b[low : len(b) - end]
-    masks: dict = {}
-    for j, item in enumerate(y):
-        masks[item] = masks.get(item, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    rows, v = [], full
-    for item in x:
-        u = v & masks.get(item, 0)
-        v = (v + u | v - u) & full
-        rows.append(v)
+    out[low : len(a) - end] = _aligned(x, y)
+    return out
+
+
+#: Bits of the table of one alignment (16 MB); larger ones are cut in two where a longest subsequence passes.
+MOST_BITS = 1 << 27
+
+
+def _aligned(x: list, y: list) -> list[bool]:
+    if len(x) > 1 and len(x) * len(y) > MOST_BITS:
+        half = len(x) // 2
+        ahead = _lengths(_rows(x[:half], y, False)[-1], len(y))
+        behind = _lengths(_rows(x[half:][::-1], y[::-1], False)[-1], len(y))
+        cut_ = int(np.argmax(ahead + behind[::-1]))
+        return _aligned(x[:half], y[:cut_]) + _aligned(x[half:], y[cut_:])
+    out, rows = [False] * len(x), _rows(x, y, True)
     j = len(y) - 1
     for i in range(len(x) - 1, -1, -1):
         while j >= 0 and rows[i] >> j & 1:  # no longer with y[j] than without
@@ -175,11 +184,41 @@ def common(a: list, b: list) -> list[bool]:
             break
         if i and not rows[i - 1] >> j & 1:
             continue
-        out[low + i] = True
+        out[i] = True
         j -= 1
     return out
 
 
+def _rows(x: list, y: list, every: bool) -> list[int]:
+    """The table's rows, or the last one: bit j is 0 where the subsequence with y[: j + 1] is longer than with y[:j]."""
+    places: dict = {item: [] for item in x}
+    for j, item in enumerate(y):
+        if item in places:
+            places[item].append(j)
+    few = len(places) * len(y) <= MOST_BITS  # else a mask is made where it is needed
+    masks = {item: _bits(at, len(y)) for item, at in places.items()} if few else {}
+    full = (1 << len(y)) - 1
+    rows, v = [], full
+    for item in x:
+        u = v & (masks[item] if few else _bits(places[item], len(y)))
+        v = (v + u | v - u) & full
+        if every:
+            rows.append(v)
+    return rows if every else [v]
+
+
+def _bits(places: list[int], n: int) -> int:
+    flags = np.zeros(n, dtype=np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """Longest subsequences with y[:0], y[:1], ... of a table's row."""
+    flags = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - flags.astype(np.int64))])
+
+
 def kept(where: list[int], shared: list[bool]) -> list[bool]:
     """Of the lines of the best region: whether the neighbour lacks them, or the whole marked region is a copy."""
     best = max(where, default=ASIDE_LINE)
@@ -207,7 +246,7 @@ def extract(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html
     keyed = cut(_parsed(rows, True))
     # pages of a host with equal lines are one class, which stands where its first page does
     first = keyed.groupBy("_host", "_same").agg(F.min(F.struct("_path", "_id", "_lines")).alias("f")).select("_host", "_same", F.col("f._path").alias("_path"), F.col("f._id").alias("_first"), F.col("f._lines").alias("_lines"))
-    placed = cut(_placed(first))
+    placed = with_rows(first, ["_host", "_path", "_first", "_same"], "_row").drop("_first")
     near = [placed.select((F.col("_row") + by).alias("_row"), *(F.col(f"_{c}").alias(f"_{c}{by}") for c in ("host", "path", "lines"))) for by in (1, -1)]
     both = placed.join(near[0], "_row", "left").join(near[1], "_row", "left")
     done = _differenced(both.select("_host", "_same", "_path", "_lines", *(F.col(f"_{c}{by}") for by in (1, -1) for c in ("host", "path", "lines"))))
@@ -217,16 +256,6 @@ def extract(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html
     return own.select("_id", "_url", text.alias("text"))
 
 
-def _placed(classes: DataFrame) -> DataFrame:
-    """_row: the place of each class by (host, path); the ranges are stored before they are counted, so that both see the same."""
-    order = ["_host", "_path", "_first", "_same"]
-    dealt = cut(classes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_row", within).join(F.broadcast(before), "_part").withColumn("_row", F.col("_row") + F.col("_before")).drop("_part", "_before", "_first")
-
-
 def _parsed(rows: DataFrame, keys: bool) -> DataFrame:
     """_same: a hash of each page's lines; with keys, _lines: where each line stands and its hash, else _text: the lines of the best region."""
 

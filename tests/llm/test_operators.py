@@ -414,8 +414,12 @@ def test_html_copies_and_slices(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
 
 
-def test_longest_common_subsequence():
+def test_longest_common_subsequence(monkeypatch):
     rng = random.Random(3)
+    many = [rng.randrange(9) for _ in range(700)], [rng.randrange(9) for _ in range(600)]
+    whole = sum(html_text.common(*many))
+    monkeypatch.setattr(html_text, "MOST_BITS", 40)  # in parts
+    assert sum(html_text.common(*many)) == whole
     for _ in range(300):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
