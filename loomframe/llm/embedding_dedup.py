@@ -105,8 +105,13 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding",
     ids = rows.select("_id").distinct()
     if not n:
         return ids.select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = np.array([unit(np.array(r[0]), dim) for r in groups.select("_v").orderBy(F.xxhash64("_rep")).limit(max_train).collect()])
-    quantiser = Quantiser(sample, max(1, min(1024, int(math.sqrt(n) / 12))), n_sub, n_codes)
+    # tasks choose by hash, so that only about max_train vectors travel, whatever the number of tasks
+    place = F.xxhash64("_rep")
+    chosen = groups.where(F.lit(n <= max_train) | (F.abs(place % (1 << 40)) < int((1 << 40) * min(1, max_train / n)))).select(place.alias("_at"), "_v").collect()
+    sample = np.array([unit(np.array(r["_v"]), dim) for r in sorted(chosen, key=lambda r: r["_at"])]).reshape(-1, dim)
+    if not len(sample):
+        sample = np.array([unit(np.array(groups.select("_v").first()[0]), dim)])
+    quantiser = Quantiser(sample, int(math.sqrt(n) / 4), n_sub, n_codes)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def place(batches):
