@@ -5,13 +5,14 @@ with the smallest hash, the rightmost of equals.  Equal strings have equal ancho
 be sorted alone, and a bucket's memory depends on its own size only.  Neighbouring strings share their anchor, so a
 bucket holds runs of them: 3 in 100 bytes become a record, packed into one blob for each task and bucket.
 
-* Runs whose whole context is equal are settled by the smallest (id, start): all others are removed.
+* Runs whose whole context is equal (by 128 bits: its hash and that of the anchor) collapse to the smallest (id, start),
+  which stands for them in the sort; all others are removed.
 * Where an anchor has several contexts, the first run of each is sorted, string by string: by the first V bytes, then,
   where they tie, by ranks of the difference-cover sample, which were computed by doubling before.  Contexts are laid
   out with their anchors at multiples of V, so that tied strings have one offset to the next sample position.  Equal
   neighbours in that order are compared byte by byte.
-* Anchors that many contexts of one task's texts share are dealt string by string instead of run by run, and each
-  task sends the first of equal ones only: a passage in a third of all documents costs each task one record.
+* Anchors that many records share are dealt string by string instead of run by run (equality by 128 bits of two hashes),
+  and each task sends the first of equal ones only: a passage in a third of all documents costs each task one record.
 
 Defined cases: a null text is empty; texts under n bytes lose nothing; rows with a null id give no result; an id that
 repeats keeps the text that sorts first; an empty table gives no rows; columns other than the id and the text are not
@@ -36,6 +37,8 @@ K = 32
 V, COVER = 31, (0, 1, 3, 8, 12, 18)
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 UNROOT = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Of the second hash, and its inverse.
+ROOTS = (np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64)))
 VALUES = scramble(np.arange(1, 257, dtype=np.uint64))
 #: Bytes of text that are anchored at a time.
 CHUNK = 1 << 21
@@ -90,6 +93,17 @@ def _hash(stretch: dict, a: np.ndarray, b: np.ndarray, off: np.ndarray, length:
     return scramble(whole + off.astype(np.uint64) * ROOT + (length.astype(np.uint64) << np.uint64(40)))
 
 
+def _second(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Another 64 bits of the strings of n bytes at these places, independent of ``_hash``: with it equality has 128."""
+    up, down = np.full(len(data) + 1, ROOTS[0]), np.full(len(data) + 1, ROOTS[1])
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(scramble(VALUES[data]) * up[:-1], out=sums[1:])
+    return scramble((sums[at + n] - sums[at]) * down[at])
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours: of a block's rest and of the next block's begin."""
     n = len(x) - w + 1
@@ -138,18 +152,23 @@ def _first_of_equal(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, first
 
 
-def _crowded(docs: DataFrame, n: int, least: int, most: int) -> np.ndarray:
-    """Anchors with at least ``least`` different contexts in one chunk of text; all texts are looked at."""
-    schema = pa.schema([("_h", pa.int64())])
+def _crowded(docs: DataFrame, n: int, least: int, most: int, records: float) -> np.ndarray:
+    """Anchors with an equal part (one in ``most``) of all records and ``least`` at least, which bounds their number.
+
+    All texts are looked at; a sixteenth of the chunks tells the anchors that are frequent over all of them but not in
+    any.  The choice decides the cost, never the result."""
+    schema = pa.schema([("_h", pa.int64()), ("_n", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for chunk in _texts(batch):
+                told = int(chunk[3][0]) * 2654435761 % 16 == 0
                 for records, _, _ in _pieces(*chunk, n):
                     h, times = np.unique(records["h"][_distinct(records)], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[times >= least].view(np.int64))], schema=schema)
+                    h, times = (h, 16 * times) if told else (h[times >= least // 4], times[times >= least // 4])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], schema=schema)
 
-    found = docs.mapInArrow(run, "_h long").groupBy("_h").count().orderBy(F.desc("count"), "_h").limit(most)
+    found = docs.mapInArrow(run, "_h long, _n long").groupBy("_h").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= max(records / most, least))
     return np.sort(found.select("_h").toArrow()["_h"].to_numpy().view(np.uint64))
 
 
@@ -188,7 +207,7 @@ def _blobs(docs: DataFrame, n: int, crowded: np.ndarray, buckets: int) -> DataFr
                             at = single["low"].astype(np.int64) - shift + (np.array([of[d] for d in single["doc"].tolist()]) if not shift and len(ids) > 1 else 0)
                             single["off"] = single["len"] = 0
                             single["h"] = _hash(stretch, at, at + n, single["off"], single["len"])
-                            single["ctx"] = 0
+                            single["ctx"] = _second(data[shift : shift + len(stretch["sums"]) - 1], at, n)
                             records = np.concatenate([records[~hot], single])
                     r, first = _first_of_equal(records)
                     gone = r[~first]
@@ -299,11 +318,12 @@ def compare_bucket(h: np.ndarray, doc: np.ndarray, low: np.ndarray, off: np.ndar
 def repeated_spans(docs: DataFrame, *, n=100, crowd=48, max_crowded=1 << 16, bucket_bytes=8 << 20) -> DataFrame:
     """(_doc, _low, _high): stretches of each text's bytes to remove, which may touch and overlap.
 
-    docs: unique _id and _text.  ``max_crowded`` bounds the list of crowded anchors that is sent to all tasks.
+    docs: unique _id and _text.  ``max_crowded`` bounds the list of crowded anchors that is sent to all tasks: each has
+    that part of all records.
     """
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), int(total * 3 / (n - K + 2) * 18 / bucket_bytes))
-    made = _blobs(docs, n, _crowded(docs, n, crowd, max_crowded), buckets)
+    made = _blobs(docs, n, _crowded(docs, n, crowd, max_crowded, total * 3 / (n - K + 2)), buckets)
     schema = SPAN + ", _h long, _off int"
     settled = made.select(F.coalesce("_bucket", F.pmod(F.xxhash64("_doc"), F.lit(buckets)).cast("int")).alias("_bucket"), "_blob", "_doc", "_low", "_high")
 
