@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracles import SQL
 
 
 def op1_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +94,22 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(docs, rules).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_pq, op2_suffix_dedup, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op7_context_mixing, op8_ngram_jaccard, op9_html_diff, op10_quality_trees)}
-SQL: dict[str, str] = {}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_pii_boosted(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    from .quality import COUNTS, statistics
+
+    return statistics(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), *COUNTS, "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_pq, op2_suffix_dedup, op3_pii_boosted, op4_license_scan, op5_binary_packing, op6_sentencepiece, op7_context_mixing, op8_ngram_jaccard, op9_html_diff, op10_quality_trees, pii_base, license_base, quality_base)}
+__all__ = ["QUERIES", "SQL"]
