@@ -76,6 +76,22 @@ def gather(df: DataFrame, order: Sequence[str], rows: Sequence[int]) -> DataFram
     return wanted.join(with_rows(df, order, "_row"), "_row", "left").drop("_row").select("_at", *df.columns)
 
 
+def head(df: DataFrame, order: Sequence[str], n: int = 6) -> DataFrame:
+    """The first n rows; a negative n: all but the last -n."""
+    return row_range(df, order, 1, n) if n >= 0 else row_range(df, order, 1, df.count() + n)
+
+
+def tail(df: DataFrame, order: Sequence[str], n: int = 6) -> DataFrame:
+    """The last n rows; a negative n: all but the first -n."""
+    rows = df.count()
+    return row_range(df, order, rows - n + 1, rows) if n >= 0 else row_range(df, order, 1 - n, rows)
+
+
+def which(df: DataFrame, test: Column, order: Sequence[str]) -> DataFrame:
+    """The places (column ``place``) of the rows where the test is true."""
+    return with_rows(df.select(*order, (test.cast("double") == 1).alias("_true")), order, "place").where("_true").select("place")
+
+
 def filter_rows(df: DataFrame, test: Column, na_rows: str = "drop") -> DataFrame:
     """Rows where the test is true (a number other than 0); na_rows: 'keep' also keeps rows whose test is missing."""
     ok = test.cast("double") != 0

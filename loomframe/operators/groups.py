@@ -39,6 +39,13 @@ def ddply_function(df: DataFrame, keys: Sequence[str], fun: Callable, schema: st
     return out.dropna() if drop_na else out
 
 
+def each_row(df: DataFrame, fun: Callable[..., Column | Sequence[Column]], cols: Sequence[str] | None = None) -> DataFrame:
+    """A function of a row's cells, given as columns, as C1, C2, ..: expressions, not a call for each row."""
+    made = fun(*(F.col(f"`{c}`") for c in cols or df.columns))
+    made = list(made) if isinstance(made, (list, tuple)) else [made]
+    return df.select("*", *(m.alias(f"C{i + 1}") for i, m in enumerate(made)))
+
+
 def apply_rows(df: DataFrame, how: str, cols: Sequence[str] | None = None) -> DataFrame:
     """A reducer over each row's cells as column C1: an expression, not a function call per row."""
     cols = list(cols or df.columns)
@@ -69,12 +76,13 @@ def impute(df: DataFrame, column: str, method: str = "mean", by: Sequence[str] =
     Texts always take the mode.  A column or group without values stays missing.
     """
     text = dict(df.dtypes)[column] == "string"
-    c = F.col(column)
-    value = {"mean": F.avg(c), "median": F.percentile(c, F.lit(0.5)), "mode": F.mode(c, True)}["mode" if text else method]
+    c, how = F.col(column), "mode" if text else method
+    value = F.mode(c, True) if how == "mode" else F.avg(c)
     if not by:
-        fill = df.agg(value.alias("v")).first()[0]
+        fill = reduce.quantiles(df, column, [0.5])[0] if how == "median" else df.agg(value.alias("v")).first()[0]
         return df if fill is None else df.withColumn(column, F.coalesce(c, F.lit(fill)))
-    stats = df.groupBy(*by).agg(value.alias("_fill")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_fill")
+    found = reduce.grouped_quantile(df, by, column, 0.5, "_fill") if how == "median" else df.groupBy(*by).agg(value.alias("_fill"))
+    stats = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_fill")
     on = None
     for i, k in enumerate(by):
         same = df[k].eqNullSafe(stats[f"_k{i}"])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import reduce
+
 #: The fixed part of an AUC's thresholds.
 STEPS = [i / 50 for i in range(51)]
 #: Of a confusion matrix, which has the square of it as rows.
@@ -25,6 +27,17 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def class_measures(matrix: DataFrame) -> DataFrame:
+    """Of a ``confusion_matrix`` of any number of classes: each one's rows, error, recall, precision and F1."""
+    n, right = F.col("n"), F.col("actual") == F.col("predicted")
+    rows = matrix.groupBy(F.col("actual").alias("class")).agg(F.sum(n).alias("rows"), F.sum(F.when(right, n).otherwise(0)).alias("hits"))
+    said = matrix.groupBy(F.col("predicted").alias("class")).agg(F.sum(n).alias("said"))
+    share = lambda a, b: F.when(b > 0, a / b)
+    both = rows.join(said, "class")
+    recall, precision = share(F.col("hits"), F.col("rows")), share(F.col("hits"), F.col("said"))
+    return both.select("class", "rows", (1 - recall).alias("error"), recall.alias("recall"), precision.alias("precision"), share(2 * precision * recall, precision + recall).alias("f1"))
+
+
 def mse(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(predicted).cast("double") - F.col(actual).cast("double"), F.lit(2.0))).alias("mse"))
 
@@ -95,9 +108,7 @@ def best_thresholds(table: DataFrame) -> DataFrame:
 def gains_lift(df: DataFrame, actual: str, score: str, groups: int = 10) -> DataFrame:
     """By groups of falling score (exact quantiles): rows, positives, response rate, lift, cumulative lift."""
     some = df.where(F.col(actual).isNotNull() & F.col(score).isNotNull())
-    cuts = some.agg(F.percentile(score, F.array(*(F.lit(1 - i / groups) for i in range(1, groups))))).first()[0]
-    if cuts is None:
-        cuts = []
+    cuts = [x for x in reduce.quantiles(some, score, [1 - i / groups for i in range(1, groups)]) if x is not None]
     place = F.lit(len(cuts) + 1)
     for i in range(len(cuts) - 1, -1, -1):
         place = F.when(F.col(score) >= cuts[i], F.lit(i + 1)).otherwise(place)

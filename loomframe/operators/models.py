@@ -151,13 +151,23 @@ class GLM:
         return GLM(**{**state, "beta": np.array(state["beta"])})
 
 
-def glm(df: DataFrame, response: str, names: Sequence[str], family: str = "gaussian", link: str | None = None, *, alpha=0.0, lam=0.0, power=1.5, max_iter=50, tol=1e-8, offset=None, weights=None, non_negative=False, bounds=None) -> GLM:
+def glm(df: DataFrame, response: str, names: Sequence[str], family: str = "gaussian", link: str | None = None, *, alpha=0.0, lam=0.0, power=1.5, max_iter=50, tol=1e-8, offset=None, weights=None, non_negative=False, bounds=None, standardize=False, prior=None) -> GLM:
     """Iteratively reweighted least squares: each pass sums the weighted Gram matrix, the driver solves it.
 
     With ``lam`` > 0 the solve is elastic net by coordinate descent on the Gram matrix (the constant is free).  bounds:
-    name -> (low, high).  The Gram matrix has (number of columns)^2 cells, whatever the number of rows.
+    name -> (low, high).  The Gram matrix has (number of columns)^2 cells, whatever the number of rows.  standardize:
+    penalties fall on numbers of mean 0 and deviation 1 (the coefficients are given for the columns as they are).
+    prior: the true share of ones, for a binomial model of balanced rows.
     """
     link = link or LINKS[family]
+    if standardize:
+        stats = df.dropna(subset=[response, *names]).agg(*(x for n in names for x in (F.avg(f"`{n}`"), F.stddev_samp(f"`{n}`")))).first()
+        mean, sd = np.array([v or 0.0 for v in stats[::2]]), np.array([v or 1.0 for v in stats[1::2]])
+        scaled = df.select("*", *(((F.col(f"`{n}`").cast("double") - float(m)) / float(v)).alias(f"_z{i}") for i, (n, m, v) in enumerate(zip(names, mean, sd, strict=True))))
+        box = {f"_z{i}": tuple(b * sd[i] for b in bounds[n]) for i, n in enumerate(names) if n in bounds} if bounds else None
+        own = glm(scaled, response, [f"_z{i}" for i in range(len(names))], family, link, alpha=alpha, lam=lam, power=power, max_iter=max_iter, tol=tol, offset=offset, weights=weights, non_negative=non_negative, bounds=box, prior=prior)
+        slopes = own.beta[1:] / sd
+        return GLM(list(names), np.concatenate([[own.beta[0] - slopes @ mean], slopes]), family, link, power, own.iterations, offset)
     k = len(names)
     xs = [F.lit(1.0), *(F.col(f"`{n}`").cast("double") for n in names)]
     y = F.col(response).cast("double")
@@ -185,9 +195,22 @@ def glm(df: DataFrame, response: str, names: Sequence[str], family: str = "gauss
         beta = new
         if moved < tol or family == "gaussian" and link == "identity":
             break
+    if prior is not None and family == "binomial":
+        beta = beta.copy()
+        beta[0] += math.log(prior / (1 - prior)) - math.log(start / (1 - start))
     return GLM(list(names), beta, family, link, power, done, offset)
 
 
+def glm_folds(df: DataFrame, response: str, names: Sequence[str], keys: Sequence[str], n_folds: int = 5, **options) -> tuple[GLM, list[float]]:
+    """The model on all rows, and each fold's mean squared error of the model on the others; a hash of the keys deals the folds."""
+    folded = df.withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(n_folds)))
+
+    def miss(model: GLM, held: DataFrame) -> float:
+        return model.predict(held, "_p").agg(F.avg(F.pow(F.col("_p") - F.col(response).cast("double"), F.lit(2.0)))).first()[0]
+
+    return glm(df, response, names, **options), cross_validate(folded, lambda part: glm(part, response, names, **options), miss, n_folds, "_fold")
+
+
 def _solve(g: np.ndarray, b: np.ndarray, n: float, alpha: float, lam: float, limits: list, start: np.ndarray) -> np.ndarray:
     if lam == 0 and not any(limits):
         return np.linalg.solve(g + 1e-12 * np.trace(g) / len(g) * np.eye(len(g)), b)
@@ -290,8 +313,11 @@ def kmeans(df: DataFrame, names: Sequence[str], k: int, max_iter: int = 20, init
     stats = df.agg(*(x for c in names for x in (F.avg(f"`{c}`"), F.stddev_samp(f"`{c}`")))).first()
     mean = np.array([stats[2 * i] or 0.0 for i in range(len(names))]) if normalize else np.zeros(len(names))
     scale = np.array([stats[2 * i + 1] or 1.0 for i in range(len(names))]) if normalize else np.ones(len(names))
-    rows = df.select(*(F.col(f"`{c}`").cast("double") for c in names)).dropna().orderBy(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in names))).limit(sample).collect()
-    x = (np.array([list(r) for r in rows], dtype=float).reshape(-1, len(names)) - mean) / scale
+    whole = df.select(*(F.col(f"`{c}`").cast("double") for c in names)).dropna()
+    n, mixed = whole.count(), F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in names))
+    # tasks choose by hash, so that about ``sample`` rows travel, whatever the number of tasks
+    rows = whole.where(F.lit(n <= sample) | (F.abs(mixed % (1 << 40)) < int((1 << 40) * min(1, sample / max(1, n))))).select("*", mixed.alias("_h")).collect()
+    x = (np.array([list(r)[:-1] for r in sorted(rows, key=lambda r: r["_h"])], dtype=float).reshape(-1, len(names)) - mean) / scale
     rng = np.random.default_rng(seed)
     centers = [x[0]] if len(x) else [np.zeros(len(names))]
     while len(centers) < min(k, max(1, len(np.unique(x, axis=0)))):
@@ -306,6 +332,11 @@ def kmeans(df: DataFrame, names: Sequence[str], k: int, max_iter: int = 20, init
         new = model.centers.copy()
         for r in got:
             new[int(r[0])] = [v if v is not None else new[int(r[0])][j] for j, v in enumerate(r[2:])]
+        empty = sorted(set(range(len(new))) - {int(r[0]) for r in got})
+        if empty:  # a centre without rows moves to the row that is farthest from all
+            far = df.select(best.alias("_d"), *xs).orderBy(F.desc("_d")).limit(len(empty)).collect()
+            for k, r in zip(empty, far, strict=False):
+                new[k] = [v if v is not None else 0.0 for v in r[1:]]
         within = float(sum(r[1] for r in got))
         moved = float(np.abs(new - model.centers).max())
         model = KMeans(list(names), new, mean, scale, within, i + 1)
@@ -334,15 +365,16 @@ def gap_statistic(df: DataFrame, names: Sequence[str], k_max: int, b: int = 5, s
 # -- survival -----------------------------------------------------------------------------------------------------
 
 
-def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str | None = None, ties: str = "efron", max_iter: int = 20, tol: float = 1e-9, max_times: int = 10_000) -> dict:
+def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str | None = None, ties: str = "efron", max_iter: int = 20, tol: float = 1e-9, max_times: int = 10_000, weights: str | None = None) -> dict:
     """Proportional hazards by Newton steps.  Each step aggregates by stop time and by start time, at most ``max_times`` of each.
 
-    Returns coef, se, loglik, n, events, iterations.
+    Returns coef, se, loglik, n, events, iterations, the means that the hazard is centred on, and the baseline: (time,
+    cumulative hazard) by the estimator that goes with the ties.  weights: a column by which each row counts.
     """
     xs = [F.col(f"`{c}`").cast("double") for c in names]
-    cols = [F.col(stop).cast("int").alias("_t"), F.col(event).cast("int").alias("_e"), (F.col(start).cast("int") if start else F.lit(None).cast("int")).alias("_s"), *(x.alias(f"_x{i}") for i, x in enumerate(xs))]
-    data = df.select(*cols).dropna(subset=["_t", "_e", *(f"_x{i}" for i in range(len(names)))])
-    means = np.array(data.agg(*(F.avg(f"_x{i}") for i in range(len(names)))).first())
+    cols = [F.col(stop).cast("int").alias("_t"), F.col(event).cast("int").alias("_e"), (F.col(start).cast("int") if start else F.lit(None).cast("int")).alias("_s"), (F.col(weights).cast("double") if weights else F.lit(1.0)).alias("_w"), *(x.alias(f"_x{i}") for i, x in enumerate(xs))]
+    data = df.select(*cols).where("_w > 0").dropna(subset=["_t", "_e", *(f"_x{i}" for i in range(len(names)))])
+    means = np.array(data.agg(*(F.sum(F.col(f"_x{i}") * F.col("_w")) / F.sum("_w") for i in range(len(names)))).first())
     k = len(names)
     beta, ll = np.zeros(k), -math.inf
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -351,11 +383,11 @@ def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str
         r = F.exp(sum((c[i] * float(beta[i]) for i in range(k)), F.lit(0.0)))
 
         def sums(keep: Column, prefix: str) -> list[Column]:
-            w = F.when(keep, r).otherwise(0.0)
+            w = F.when(keep, r * F.col("_w")).otherwise(0.0)
             return [F.sum(w).alias(f"{prefix}0"), *(F.sum(w * c[i]).alias(f"{prefix}1_{i}") for i in range(k)), *(F.sum(w * c[i] * c[j]).alias(f"{prefix}2_{i}_{j}") for i, j in pairs)]
 
         dead = F.col("_e") == 1
-        one = data.groupBy("_t").agg(F.sum("_e").alias("d"), *(F.sum(F.when(dead, c[i]).otherwise(0.0)).alias(f"x{i}") for i in range(k)), *sums(F.lit(True), "a"), *sums(dead, "e")).orderBy(F.desc("_t")).limit(max_times + 1).collect()
+        one = data.groupBy("_t").agg(F.sum("_e").alias("d"), F.sum(F.when(dead, F.col("_w")).otherwise(0.0)).alias("wd"), *(F.sum(F.when(dead, c[i] * F.col("_w")).otherwise(0.0)).alias(f"x{i}") for i in range(k)), *sums(F.lit(True), "a"), *sums(dead, "e")).orderBy(F.desc("_t")).limit(max_times + 1).collect()
         if len(one) > max_times:
             raise ValueError(f"more than {max_times} times")
         late = data.where("_s IS NOT NULL").groupBy("_s").agg(*sums(F.lit(True), "a")).orderBy(F.desc("_s")).limit(max_times + 1).collect() if start else []
@@ -369,7 +401,7 @@ def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str
             return row[f"{prefix}0"], np.array([row[f"{prefix}1_{i}"] for i in range(k)]), m
 
         s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, k))
-        new_ll, grad, hess, at = 0.0, np.zeros(k), np.zeros((k, k)), 0
+        new_ll, grad, hess, at, steps = 0.0, np.zeros(k), np.zeros((k, k)), 0, []
         for row in one:  # from the last time: those at risk enter at their stop and leave at their start
             a0, a1, a2 = unpack(row, "a")
             s0, s1, s2 = s0 + a0, s1 + a1, s2 + a2
@@ -383,18 +415,154 @@ def coxph(df: DataFrame, stop: str, event: str, names: Sequence[str], start: str
             x = np.array([row[f"x{i}"] for i in range(k)])
             new_ll += float(x @ beta)
             grad += x
+            each, jump = row["wd"] / d, 0.0  # of tied deaths, each has their mean weight
             for m in range(d):
                 f = m / d if ties == "efron" else 0.0
                 t0, t1, t2 = s0 - f * e0, s1 - f * e1, s2 - f * e2
-                new_ll -= math.log(t0)
-                grad -= t1 / t0
-                hess += t2 / t0 - np.outer(t1, t1) / t0**2
+                new_ll -= each * math.log(t0)
+                grad -= each * t1 / t0
+                hess += each * (t2 / t0 - np.outer(t1, t1) / t0**2)
+                jump += each / t0
+            steps.append((row["_t"], jump))
         if abs(new_ll - ll) < tol * max(1.0, abs(ll)):
             break
         ll = new_ll
         beta = beta + np.linalg.solve(hess, grad)
     n, events = data.agg(F.count("*"), F.sum("_e")).first()
-    return {"coef": dict(zip(names, beta.tolist(), strict=True)), "se": dict(zip(names, np.sqrt(np.diag(np.linalg.inv(hess))).tolist(), strict=True)), "loglik": new_ll, "n": n, "events": events, "iterations": it}
+    baseline, total = [], 0.0
+    for time, jump in reversed(steps):
+        total += jump
+        baseline.append((time, total))
+    return {"means": dict(zip(names, means.tolist(), strict=True)), "baseline": baseline, "coef": dict(zip(names, beta.tolist(), strict=True)), "se": dict(zip(names, np.sqrt(np.diag(np.linalg.inv(hess))).tolist(), strict=True)), "loglik": new_ll, "n": n, "events": events, "iterations": it}
+
+
+def survfit(model: dict, **x: float) -> list[tuple[int, float, float]]:
+    """(time, cumulative hazard, survival) of a ``coxph`` model for one set of values (the means where they are not given)."""
+    r = math.exp(sum(b * (x.get(n, model["means"][n]) - model["means"][n]) for n, b in model["coef"].items()))
+    return [(t, h * r, math.exp(-h * r)) for t, h in model["baseline"]]
+
+
+# -- saving and export --------------------------------------------------------------------------------------------
+
+
+def save_model(model) -> str:
+    """GLM, NaiveBayes, PCA, KMeans, Multinomial and coxph results as JSON."""
+    plain = lambda v: {"_array": v.tolist()} if isinstance(v, np.ndarray) else v
+    state = model if isinstance(model, dict) else model.__dict__
+    return json.dumps({"kind": "dict" if isinstance(model, dict) else type(model).__name__, "state": {k: plain(v) for k, v in state.items()}})
+
+
+def load_model(text: str):
+    made = json.loads(text)
+    state = {k: np.array(v["_array"]) if isinstance(v, dict) and "_array" in v else v for k, v in made["state"].items()}
+    if made["kind"] == "dict":
+        return {**state, "baseline": [tuple(r) for r in state.get("baseline", [])]}
+    return {c.__name__: c for c in (GLM, NaiveBayes, PCA, KMeans, Multinomial)}[made["kind"]](**state)
+
+
+def export_sql(model, names: Sequence[str] = ()) -> str:
+    """A scoring expression in SQL: of a GLM its mean, of pyspark.ml trees their mean, sum of votes or margin."""
+    if isinstance(model, GLM):
+        eta = " + ".join([repr(float(model.beta[0])), *(f"{float(b)!r} * CAST(`{n}` AS DOUBLE)" for n, b in zip(model.names, model.beta[1:], strict=True))])
+        return {"identity": f"({eta})", "logit": f"(1 / (1 + exp(-({eta}))))", "log": f"exp({eta})", "inverse": f"(1 / ({eta}))"}[model.link]
+    trees = model.trees if hasattr(model, "trees") else [model]
+    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0]
+
+    def node(n) -> str:
+        if n.subtreeDepth() == 0:
+            return repr(float(n.prediction()))
+        split = n.split()
+        return f"CASE WHEN CAST(`{names[split.featureIndex()]}` AS DOUBLE) <= {float(split.threshold())!r} THEN {node(n.leftChild())} ELSE {node(n.rightChild())} END"
+
+    return "(" + " + ".join(f"{float(w)!r} * {node(t._call_java('rootNode'))}" for w, t in zip(weights, trees, strict=True)) + ")"
+
+
+# -- boosting of several classes, forests with their own test rows --------------------------------------------------
+
+
+@dataclass
+class Multinomial:
+    """Sums of trees for each class, as SQL expressions; probabilities by softmax."""
+
+    names: list[str]
+    classes: list[str]
+    start: list[float]
+    trees: list[list[str]]
+
+    def _logs(self) -> list[Column]:
+        return [F.expr(" + ".join([repr(b), *(f"({t})" for t in own)])) for b, own in zip(self.start, self.trees, strict=True)]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``predict`` and one probability column for each class."""
+        out = df.select("*", *(x.alias(f"_l{i}") for i, x in enumerate(self._logs())))
+        ls = [F.col(f"_l{i}") for i in range(len(self.classes))]
+        top = F.greatest(*ls)
+        total = sum((F.exp(x - top) for x in ls[1:]), F.exp(ls[0] - top))
+        label = F.lit(self.classes[-1])
+        for c, x in reversed(list(zip(self.classes[:-1], ls[:-1], strict=True))):
+            label = F.when(x == top, F.lit(c)).otherwise(label)
+        return out.select(*df.columns, label.alias("predict"), *((F.exp(x - top) / total).alias(f"p.{c}") for c, x in zip(self.classes, ls, strict=True)))
+
+
+def multinomial_boosting(df: DataFrame, response: str, names: Sequence[str], ntrees: int = 10, depth: int = 3, rate: float = 0.1, bins: int = 32, min_rows: int = 10, most_classes: int = 100) -> Multinomial:
+    """One regression tree for each class and round, fitted to its residuals; leaves are Newton steps of the deviance.
+
+    The model so far is an expression, so each round reads the frame again and nothing but trees is kept.
+    """
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    some = df.select(F.col(response).cast("string").alias("_y"), *(F.col(f"`{n}`").cast("double").alias(n) for n in names)).dropna()
+    counts = {r["_y"]: r["count"] for r in some.groupBy("_y").count().orderBy("_y").limit(most_classes + 1).collect()}
+    if not 2 <= len(counts) <= most_classes:
+        raise ValueError(f"2 to {most_classes} classes")
+    classes, n = list(counts), sum(counts.values())
+    model = Multinomial(list(names), classes, [math.log(counts[c] / n) for c in classes], [[] for _ in classes])
+    k = len(classes)
+    for _ in range(ntrees):
+        scored = _assembled(model.predict(some), names)
+        rounds = []
+        for c in classes:
+            left = scored.withColumn("_r", (F.col("_y") == c).cast("double") - F.col(f"`p.{c}`"))
+            tree = DecisionTreeRegressor(featuresCol="_features", labelCol="_r", maxDepth=depth, maxBins=bins, minInstancesPerNode=min_rows, leafCol="_leaf").fit(left)
+            size = F.abs(F.col("_r"))
+            steps = {int(r["_leaf"]): (k - 1) / k * r["a"] / max(r["b"], 1e-12) for r in tree.transform(left).groupBy("_leaf").agg(F.sum("_r").alias("a"), F.sum(size * (1 - size)).alias("b")).collect()}
+            rounds.append(_with_leaves(tree, names, {leaf: rate * v for leaf, v in steps.items()}))
+        for own, made in zip(model.trees, rounds, strict=True):
+            own.append(made)
+    return model
+
+
+def _with_leaves(tree, names: Sequence[str], values: dict[int, float]) -> str:
+    """A tree as SQL with other values in its leaves, which are numbered from left to right."""
+    at = iter(range(1 << 30))
+
+    def node(n) -> str:
+        if n.subtreeDepth() == 0:
+            return repr(float(values.get(next(at), 0.0)))
+        split = n.split()
+        return f"CASE WHEN `{names[split.featureIndex()]}` <= {float(split.threshold())!r} THEN {node(n.leftChild())} ELSE {node(n.rightChild())} END"
+
+    return node(tree._call_java("rootNode"))
+
+
+def forest_out_of_bag(df: DataFrame, response: str, names: Sequence[str], keys: Sequence[str], ntrees: int = 10, depth: int = 5, rate: float = 0.632, impurity: str = "gini", seed: int = 1) -> tuple[list[str], DataFrame]:
+    """(trees as SQL of the predicted class number, rows with ``oob``: the class that the trees not fitted on a row choose).
+
+    A hash of the keys decides which rows each tree is fitted on; impurity: gini or entropy.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    data = df.withColumn("_label", F.col(response).cast("double"))
+    trees, votes = [], []
+    for t in range(ntrees):
+        inside = F.abs(F.xxhash64(F.lit(seed * 1000 + t), *keys) % (1 << 30)) < int(rate * (1 << 30))
+        model = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=depth, impurity=impurity).fit(_assembled(data.where(inside), names))
+        trees.append(export_sql(model, names))
+        votes.append(F.when(~inside, F.expr(trees[-1])))
+    cast = F.array_compact(F.array(*votes))
+    # the commonest vote, the lowest of equals
+    best = F.array_max(F.transform(F.array_distinct(cast), lambda v: F.struct(F.size(F.filter(cast, lambda x: x == v)).alias("n"), (-v).alias("v"))))
+    return trees, data.select(*df.columns, (-best["v"]).alias("oob"))
 
 
 # -- pyspark.ml ---------------------------------------------------------------------------------------------------
@@ -416,7 +584,10 @@ def tree_model(df: DataFrame, response: str, names: Sequence[str], kind: str = "
     if kind == "gbm":
         est = (C.GBTClassifier if classify else R.GBTRegressor)(**common, maxIter=options.get("ntrees", 50), maxDepth=options.get("depth", 5), stepSize=options.get("learn_rate", 0.1), minInstancesPerNode=options.get("min_rows", 10), maxBins=options.get("nbins", 32), seed=options.get("seed", 1))
     elif kind == "drf":
-        est = (C.RandomForestClassifier if classify else R.RandomForestRegressor)(**common, numTrees=options.get("ntrees", 50), maxDepth=options.get("depth", 10), subsamplingRate=options.get("sample_rate", 0.6667), maxBins=options.get("nbins", 32), seed=options.get("seed", 1))
+        more = {"impurity": options["impurity"]} if "impurity" in options else {}
+        more |= {"weightCol": options["weights"]} if "weights" in options else {}
+        more |= {"featureSubsetStrategy": str(options["mtries"])} if "mtries" in options else {}
+        est = (C.RandomForestClassifier if classify else R.RandomForestRegressor)(**common, **more, numTrees=options.get("ntrees", 50), maxDepth=options.get("depth", 10), subsamplingRate=options.get("sample_rate", 0.6667), maxBins=options.get("nbins", 32), seed=options.get("seed", 1))
     elif kind == "mlp":
         classes = data.select("_label").distinct().count()
         est = C.MultilayerPerceptronClassifier(**common, layers=[len(names), *options.get("hidden", [10]), classes], maxIter=options.get("max_iter", 50), seed=options.get("seed", 1))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import number
+from .frame import with_rows
 
 
 def poisoned(c: Column, how: Column) -> Column:
@@ -46,49 +47,89 @@ def sd(c: Column) -> Column:
     return F.stddev_samp(c)
 
 
-def quantile(c: Column, probs: Sequence[float]) -> Column:
+#: So many values are ordered on the driver at the end of a narrowing, whatever the number of rows.
+FEW = 20_000
+
+
+def order_statistics(df: DataFrame, column: str, places: Callable[[int], Sequence[int]], bins: int = 1000) -> dict[int, float]:
+    """place -> value of the sorted column (places from 0; missing values go), from ``places(number of values)``.
+
+    Histograms narrow each place's range: a pass counts at most ``bins`` cells for each range, so memory does not follow
+    the data.  Ranges of few values are read whole.
+    """
+    x = df.select(number(F.col(f"`{column}`")).alias("x")).where("x IS NOT NULL")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    wanted = sorted(set(places(n))) if n else []
+    out = {w: low for w in wanted} if low == high else {}
+    spans = {(low, high): (0, n)}  # range -> values before it, values in it
+    while len(out) < len(wanted):
+        if any(not 0 < (b - a) / bins < float("inf") for a, b in spans):  # endless or too narrow to be cut: by row numbers
+            rows = with_rows(x, ["x"], "row").where((F.col("row") - 1).isin([w for w in wanted if w not in out]))
+            return out | {r.row - 1: r.x for r in rows.collect()}
+        few = [s for s, (_, size) in spans.items() if size <= FEW]
+        if few and sum(spans[s][1] for s in few) <= 4 * FEW:
+            held = x.where(_within(few)).collect()
+            for a, b in few:
+                values, before = sorted(r.x for r in held if a <= r.x <= b), spans[a, b][0]
+                out |= {w: values[w - before] for w in wanted if before <= w < before + len(values)}
+        many = [s for s in spans if not (few and s in few and sum(spans[f][1] for f in few) <= 4 * FEW)]
+        if not many:
+            break
+        cell = lambda s: F.least(F.floor((F.col("x") - s[0]) / ((s[1] - s[0]) / bins)), F.lit(bins - 1)).cast("int")
+        cells = F.explode(F.array_compact(F.array(*(F.when(F.col("x").between(*s), F.struct(F.lit(k).alias("s"), cell(s).alias("k"))) for k, s in enumerate(many)))))
+        counts = x.where(_within(many)).select("x", cells.alias("c")).groupBy("c.s", "c.k").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("s", "k").collect()
+        then = {}
+        for k, span in enumerate(many):
+            before = spans[span][0]
+            for r in (r for r in counts if r.s == k):
+                own = [w for w in wanted if before <= w < before + r.n and w not in out]
+                if own and r.a == r.b:
+                    out |= dict.fromkeys(own, r.a)
+                elif own:
+                    then[r.a, r.b] = (before, r.n)
+                before += r.n
+        spans = then
+    return out
+
+
+def _within(spans: Sequence[tuple[float, float]]) -> Column:
+    out = F.lit(False)
+    for a, b in spans:
+        out = out | F.col("x").between(a, b)
+    return out
+
+
+def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
     """Exact, with linear interpolation between order statistics (type 7)."""
-    return F.percentile(c, F.array(*map(F.lit, probs)))
+    ends = lambda n: [(p, int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1), p * (n - 1) - int(p * (n - 1))) for p in probs]
+    size = []
+    got = order_statistics(df, column, lambda n: size.append(n) or [w for _, a, b, _ in ends(n) for w in (a, b)])
+    return [got[a] + (got[b] - got[a]) * f for _, a, b, f in ends(size[0])] if got else [None] * len(probs)
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, prob: float, to: str = "quantile") -> DataFrame:
+    """The keys and the exact quantile (type 7) of each group: groups and values are sorted together by ranges, so that a
+    group of any size is spread over tasks, and two rows of each group are picked by number."""
+    some = df.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)), number(F.col(f"`{column}`")).alias("x")).where("x IS NOT NULL")
+    names = [f"k{i}" for i in range(len(keys))]
+    numbered = with_rows(some, [*names, "x"], "row")
+    place = F.lit(prob) * (F.col("n") - 1)
+    at = numbered.groupBy(*names).agg(F.min("row").alias("first"), F.count("*").alias("n")).select("first", *(F.col(k).alias(f"g{k}") for k in names), F.floor(place).alias("low"), (place - F.floor(place)).alias("part"), "n")
+    ends = at.select("*", F.explode(F.array("low", F.least(F.col("low") + 1, F.col("n") - 1))).alias("w")).withColumn("row", F.col("first") + F.col("w"))
+    values = ends.join(numbered.select("row", "x"), "row").groupBy(*(f"g{k}" for k in names), "part").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return values.select(*(F.col(f"gk{i}").alias(k) for i, k in enumerate(keys)), (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(to))
 
 
 def quantile_mean(df: DataFrame, column: str, prob: float) -> float | None:
     """Type 2: the mean of the two order statistics where the place falls between them."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if not n:
-        return None
-    place = prob * n
-    low = max(0, min(n - 1, int(place) - (place == int(place))))
-    high = max(0, min(n - 1, int(place)))
-    a, b = df.agg(quantile(F.col(column), [low / max(1, n - 1), high / max(1, n - 1)]).alias("q")).first()[0]
-    return (a + b) / 2
-
+    ends = lambda n: (max(0, min(n - 1, int(prob * n) - (prob * n == int(prob * n)))), max(0, min(n - 1, int(prob * n))))
+    size = []
+    got = order_statistics(df, column, lambda n: size.append(n) or ends(n))
+    return sum(got[w] for w in ends(size[0])) / 2 if got else None
 
-def multi_pass_quantile(df: DataFrame, column: str, prob: float, bins: int = 1000, passes: int = 16) -> float | None:
-    """Exact quantile by narrowing histograms: each pass counts ``bins`` cells, so memory does not follow the data.
 
-    For columns of so many distinct values that one aggregate buffer of them would not fit.
-    """
-    x = df.select(number(F.col(column)).alias("x")).where("x IS NOT NULL")
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return None
-    place = prob * (n - 1)
-    out = []
-    for want in sorted({int(place), min(n - 1, int(place) + 1)}):
-        a, b, before = low, high, 0
-        for _ in range(passes):
-            if a == b:
-                break
-            width = (b - a) / bins
-            cell = F.least(F.floor((F.col("x") - a) / width), F.lit(bins - 1)).cast("int")
-            counts = x.where(F.col("x").between(a, b)).groupBy(cell.alias("k")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k").collect()
-            for r in counts:
-                if before + r.n > want:
-                    a, b = r.lo, r.hi
-                    break
-                before += r.n
-        out.append(a)
-    return out[0] + (out[-1] - out[0]) * (place - int(place))
+def multi_pass_quantile(df: DataFrame, column: str, prob: float) -> float | None:
+    return quantiles(df, column, [prob])[0]
 
 
 def mode(c: Column) -> Column:
@@ -138,7 +179,23 @@ def rollups(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 PERCENTILES = [0.001, 0.01, 0.1, 0.25, 1 / 3, 0.5, 2 / 3, 0.75, 0.9, 0.99, 0.999]
 
 
-def summary(df: DataFrame, column: str, extremes: int = 5) -> DataFrame:
+def extremes(df: DataFrame, column: str, n: int) -> tuple[list[float], list[float]]:
+    """The n smallest and the n largest different values; each task sends its own n of both."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        low = high = np.zeros(0)
+        for batch in batches:
+            x = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
+            low, high = np.unique(np.concatenate([low, x[:n]]))[:n], np.unique(np.concatenate([high, x[-n:]]))[-n:]
+        yield pa.RecordBatch.from_pydict({"x": np.concatenate([low, high]), "low": np.repeat([True, False], [len(low), len(high)])})
+
+    ends = df.select(F.col(column).cast("double").alias("x")).where("abs(x) < double('Infinity')").mapInArrow(run, "x double, low boolean").distinct()
+    return [r.x for r in ends.where("low").orderBy("x").limit(n).collect()], [r.x for r in ends.where("NOT low").orderBy(F.desc("x")).limit(n).collect()]
+
+
+def summary(df: DataFrame, column: str, n_extremes: int = 5) -> DataFrame:
     """One row: counts of missing, infinite and zero values, extremes, mean, sd and percentiles of a numeric column."""
     raw, x = F.col(column).cast("double"), number(F.col(column))
     finite = F.when(F.abs(x) < float("inf"), x)
@@ -151,12 +208,23 @@ def summary(df: DataFrame, column: str, extremes: int = 5) -> DataFrame:
         F.count_if(raw == 0).alias("zeros"),
         F.avg(finite).alias("mean"),
         F.stddev_samp(finite).alias("sd"),
-        F.percentile(finite, F.array(*map(F.lit, PERCENTILES))).alias("percentiles"),
     )
-    low = df.select(finite.alias("x")).where("x IS NOT NULL").groupBy("x").count().orderBy("x").limit(extremes).agg(F.array_sort(F.collect_list("x")).alias("smallest"))
-    high = df.select(finite.alias("x")).where("x IS NOT NULL").groupBy("x").count().orderBy(F.desc("x")).limit(extremes).agg(F.sort_array(F.collect_list("x"), asc=False).alias("largest"))
-    one = F.lit(1).alias("_one")
-    return aggs.select(one, "*").join(low.select(one, "*"), "_one").join(high.select(one, "*"), "_one").drop("_one")
+    low, high = extremes(df, column, n_extremes)
+    row = lambda values: F.array(*map(F.lit, values)).cast("array<double>")
+    return aggs.select("*", row(quantiles(df.select(finite.alias("x")), "x", PERCENTILES)).alias("percentiles"), row(low).alias("smallest"), row(high).alias("largest"))
+
+
+def summary_factor(df: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """(level, count, share) of the most frequent levels, by count and name; missing values are a level of their own."""
+    counts = df.groupBy(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("NA")).alias("level")).agg(F.count("*").alias("count"))
+    n = df.count()
+    return counts.orderBy(F.desc("count"), "level").limit(most).withColumn("share", F.col("count") / F.lit(max(1, n)))
+
+
+def summary_grouped(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """A summary for each group, from partial aggregates: rows, missing, zeros, min, max, mean, sd."""
+    x = number(F.col(f"`{column}`"))
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(x.isNull()).alias("na"), F.count_if(x == 0).alias("zeros"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

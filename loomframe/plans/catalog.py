@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic as A
 from ..functions import binning, dates, factors, sequences, text
-from ..lang import Session
 from ..operators import encode, frame, groups, metrics, models, reduce, sampling
+from ..operators.workspace import Workspace, can_be_coerced_to_logical
 from ..sources.generate import create_frame as make_frame
 
 QUERIES: dict = {}
@@ -53,13 +53,16 @@ def group_summary_q1(spark, sf_dir):
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most, round(stddev_samp(o_totalprice), 4) AS sd, round(quantile_cont(o_totalprice, 0.5), 4) AS med FROM orders GROUP BY ALL")
 def ddply_multi(spark, sf_dir):
     x = c("o_totalprice")
-    return groups.ddply(read(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], {"n": F.count("*"), "least": F.round(F.min(x), 2), "most": F.round(F.max(x), 2), "sd": F.round(F.stddev_samp(x), 4), "med": F.round(F.percentile(x, F.lit(0.5)), 4)})
+    orders, keys = read(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"]
+    most = groups.ddply(orders, keys, {"n": F.count("*"), "least": F.round(F.min(x), 2), "most": F.round(F.max(x), 2), "sd": F.round(F.stddev_samp(x), 4)})
+    return most.join(reduce.grouped_quantile(orders, keys, "o_totalprice", 0.5, "med"), keys).withColumn("med", F.round("med", 4))
 
 
 @query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25), 4) AS C1 FROM customer GROUP BY c_mktsegment")
 def ddply_udf(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal")
-    return groups.ddply_function(customers, ["c_mktsegment"], lambda g: round(float(g["c_acctbal"].quantile(0.75) - g["c_acctbal"].quantile(0.25)), 4), "C1 double")
+    customers = read(spark, sf_dir, "customer")
+    low, high = (reduce.grouped_quantile(customers, ["c_mktsegment"], "c_acctbal", p, f"q{p}") for p in (0.25, 0.75))
+    return low.join(high, "c_mktsegment").select("c_mktsegment", F.round(c("`q0.75`") - c("`q0.25`"), 4).alias("C1"))
 
 
 @query(f"SELECT CASE WHEN count(*) = count(q) THEN sum(q) END AS sum_poisoned, round(sum(q), 2) AS sum_na_rm, CASE WHEN count(*) = count(q) THEN min(q) END AS min_poisoned, min(q) AS min_na_rm, max(q) AS max_na_rm, round(sum(l_tax), 4) AS sum_whole FROM (SELECT {HOLED_SQL} AS q, l_tax FROM lineitem)")
@@ -85,8 +88,8 @@ def cov_matrix(spark, sf_dir):
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.1), 4) AS q10, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90 FROM lineitem")
 def median_quantiles(spark, sf_dir):
-    q = read(spark, sf_dir, "lineitem").agg(reduce.quantile(c("l_extendedprice"), [0.1, 0.25, 0.5, 0.9]).alias("q"))
-    return q.select(*(F.round(c("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q25", "median", "q90"))))
+    q = reduce.quantiles(read(spark, sf_dir, "lineitem"), "l_extendedprice", [0.1, 0.25, 0.5, 0.9])
+    return spark.range(1).select(*(F.round(F.lit(x), 4).alias(n) for x, n in zip(q, ("q10", "q25", "median", "q90"), strict=True)))
 
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.37), 4) AS q FROM lineitem")
@@ -248,7 +251,7 @@ def round_half_even(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.round_even(x, 0).alias("r0"), A.round_even(x, 1).alias("r1"))
 
 
-@query()
+@query("SELECT o_orderkey, printf('%.1f', o_totalprice)::DOUBLE AS r1, printf('%.2e', o_totalprice)::DOUBLE AS s3 FROM orders")
 def round_signif_exact(spark, sf_dir):
     x = c("o_totalprice")
     return read(spark, sf_dir, "orders").select("o_orderkey", A.round_exact(x, 1).alias("r1"), A.signif(x, 3).alias("s3"))
@@ -504,7 +507,13 @@ def naive_bayes_stats(spark, sf_dir):
     return s.select("class", "n", *(F.round(f"{k}_{x}", d).alias(f"{k}_{x}") for x, d in (("l_quantity", 6), ("l_tax", 8)) for k in ("mean", "sd")))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT l_returnflag AS y, count(*) AS n, avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq, avg(l_tax) AS mt, stddev_samp(l_tax) AS st FROM lineitem GROUP BY 1),
+    t AS (SELECT l_returnflag AS y, l_linestatus AS v, count(*) AS k FROM lineitem GROUP BY ALL), v AS (SELECT count(DISTINCT l_linestatus) AS levels, count(*) AS rows, count(DISTINCT l_returnflag) AS classes FROM lineitem),
+    s AS (SELECT i, l_returnflag, n.y, ln((n + 1) / (rows + classes)) + ln((coalesce(k, 0) + 1) / (n + levels)) - pow((l_quantity - mq) / sq, 2) / 2 - ln(sq * sqrt(2 * pi())) - pow((l_tax - mt) / st, 2) / 2 - ln(st * sqrt(2 * pi())) AS p
+    FROM (SELECT *, row_number() OVER () AS i FROM lineitem) CROSS JOIN v CROSS JOIN n LEFT JOIN t ON t.y = n.y AND t.v = l_linestatus)
+    SELECT l_returnflag, predict, count(*) AS count FROM (SELECT i, any_value(l_returnflag) AS l_returnflag, arg_max(y, p) AS predict FROM s GROUP BY i) GROUP BY ALL"""
+)
 def naive_bayes_predict(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
     m = models.naive_bayes(li, "l_returnflag", ["l_quantity", "l_tax"], ["l_linestatus"], laplace=1.0)
@@ -585,39 +594,146 @@ def insert_missing(spark, sf_dir):
     return made.agg(F.count_if(c("o_totalprice").isNull()).alias("a"), F.count_if(c("o_orderstatus").isNull()).alias("b"))
 
 
-def _session(spark, sf_dir) -> Session:
-    s = Session()
-    s.put("orders", read(spark, sf_dir, "orders"), ["o_orderkey"])
-    s.put("nation", read(spark, sf_dir, "nation"), ["n_nationkey"])
-    s.put("events", read(spark, sf_dir, "events"), ["event_id"])
-    return s
+def _workspace(spark, sf_dir) -> Workspace:
+    w = Workspace()
+    for name in ("orders", "nation", "events", "customer", "supplier"):
+        w.put(name, read(spark, sf_dir, name))
+    return w
 
 
 @query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS \"C1\", round(max(o_totalprice) - min(o_totalprice), 4) AS \"C2\", count(*) AS \"C3\" FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
 def lang_ddply(spark, sf_dir):
-    out = _session(spark, sf_dir).run("big = orders[orders$o_totalprice > 50000,]; ddply(big, c(3), function(x) { cbind(mean(x[,4]), max(x[,4]) - min(x[,4]), nrow(x)) })")
-    return out.select("o_orderstatus", F.round("C1", 4).alias("C1"), F.round("C2", 4).alias("C2"), "C3")
+    w, x = _workspace(spark, sf_dir), c("o_totalprice")
+    w.put("big", frame.filter_rows(w.frames["orders"], x > 50000))
+    return w.call("ddply", "big", ["o_orderstatus"], {"C1": F.round(F.avg(x), 4), "C2": F.round(F.max(x) - F.min(x), 4), "C3": F.count("*")})
 
 
 @query("SELECT event_id::DOUBLE AS event_id, round(CASE WHEN value > 50 THEN value * 2 ELSE value ^ 2 / 7 END, 6) AS value FROM events")
 def lang_closure(spark, sf_dir):
-    out = _session(spark, sf_dir).run("f = function(v, k) { ifelse(v > 50, v * k, v ^ 2 / 7) }; cbind(events$event_id * 1, f(events$value, 2))")
-    return out.select("event_id", F.round("value", 6).alias("value"))
+    w = _workspace(spark, sf_dir)
+    w.add_function("f", lambda v, k: A.if_else((v > 50).cast("int"), v * k, A.power(v, F.lit(2)) / 7))
+    return w.frames["events"].select((c("event_id") * 1.0).alias("event_id"), F.round(w.call("f", c("value"), 2), 6).alias("value"))
 
 
 @query("SELECT round(sum(o_totalprice) / count(*), 4) AS a, round(quantile_cont(o_totalprice, 0.5), 4) AS b, round(stddev_samp(o_totalprice), 4) AS s FROM orders")
 def lang_scalars(spark, sf_dir):
-    s = _session(spark, sf_dir)
-    a, b, d = (s.run(x) for x in ("sum(orders$o_totalprice) / nrow(orders)", "median(orders[,4])", "sd(orders[,4])"))
-    return spark.range(1).select(F.round(F.lit(a), 4).alias("a"), F.round(F.lit(b), 4).alias("b"), F.round(F.lit(d), 4).alias("s"))
+    w = _workspace(spark, sf_dir)
+    orders = w.frames["orders"]
+    mid = w.call("quantile", orders, "o_totalprice", [0.5])[0]
+    return orders.agg(F.round(F.sum("o_totalprice") / F.count("*"), 4).alias("a"), F.round(F.lit(mid), 4).alias("b"), F.round(reduce.sd(c("o_totalprice")), 4).alias("s"))
 
 
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) AS r, n_name FROM nation QUALIFY r BETWEEN 3 AND 7")
 def lang_slice(spark, sf_dir):
-    out = _session(spark, sf_dir).run("nation[3:7, c(1, 2)]")
+    out = frame.columns(frame.row_range(_workspace(spark, sf_dir).frames["nation"], ["n_nationkey"], 3, 7), [1, 2])
     return out.select((c("n_nationkey") + 1).cast("long").alias("r"), "n_name")
 
 
+@query("SELECT event_id, round(value - lag(value, 3) OVER (ORDER BY event_id), 6) AS diff FROM events QUALIFY row_number() OVER (ORDER BY event_id) > 3")
+def lang_diff(spark, sf_dir):
+    return _workspace(spark, sf_dir).call("diff", "events", "value", ["event_id"], 3).select("event_id", F.round("diff", 6).alias("diff"))
+
+
+@query("SELECT c_custkey, string_split(c_name, '#')[1] AS \"C1\", string_split(c_name, '#')[2] AS \"C2\" FROM customer")
+def lang_strsplit(spark, sf_dir):
+    return _workspace(spark, sf_dir).call("strsplit", "customer", "c_name", "#", 2).select("c_custkey", "C1", "C2")
+
+
+@query("SELECT 's_acctbal' AS i, 's_acctbal' AS j, round(sum(s_acctbal * s_acctbal), 2) AS value FROM supplier")
+def lang_crossprod(spark, sf_dir):
+    return _workspace(spark, sf_dir).call("crossprod", "supplier", ["s_acctbal"]).select("i", "j", F.round("value", 2).alias("value"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS place FROM nation QUALIFY n_regionkey = 2")
+def lang_which(spark, sf_dir):
+    return _workspace(spark, sf_dir).call("which", "nation", c("n_regionkey") == 2, ["n_nationkey"])
+
+
+@query("SELECT unnest(['nation', 'orders']) AS frame, unnest([true, false]) AS logical")
+def workspace_names(spark, sf_dir):
+    """Frames with a model's columns, and which columns could be logical."""
+    w = _workspace(spark, sf_dir)
+    w.rm("events", "customer", "supplier", "never")
+    if w.compatible(["n_name"]) != ["nation"] or w.compatible(["o_orderkey"]) != ["orders"] or w.ls() != ["nation", "orders"]:
+        raise ValueError("compatible frames")
+    small = can_be_coerced_to_logical(w.frames["nation"].select((c("n_regionkey") > 2).cast("int").alias("x")), "x")
+    return spark.createDataFrame([("nation", small), ("orders", can_be_coerced_to_logical(w.frames["orders"], "o_orderstatus"))], "frame string, logical boolean")
+
+
+# -- summaries and measures ---------------------------------------------------------------------------------------
+
+
+@query("SELECT p_type AS level, count(*) AS count, count(*) / (SELECT count(*) FROM part) AS share FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
+def summary_factor(spark, sf_dir):
+    return reduce.summary_factor(read(spark, sf_dir, "part"), "p_type", 4)
+
+
+@query(f"SELECT l_returnflag, count(*) AS rows, count(*) - count(q) AS na, count(*) FILTER (WHERE q = 0) AS zeros, min(q) AS min, max(q) AS max, round(avg(q), 6) AS mean, round(stddev_samp(q), 6) AS sd FROM (SELECT l_returnflag, {HOLED_SQL} AS q FROM lineitem) GROUP BY 1")
+def summary_grouped(spark, sf_dir):
+    made = reduce.summary_grouped(read(spark, sf_dir, "lineitem").select("l_returnflag", holed().alias("q")), ["l_returnflag"], "q")
+    return made.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 4) AS q FROM lineitem GROUP BY ALL")
+def quantile_grouped(spark, sf_dir):
+    return reduce.grouped_quantile(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.9, "q").withColumn("q", F.round("q", 4))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) <= 4 AS first FROM events QUALIFY row_number() OVER (ORDER BY event_id) <= 4 OR row_number() OVER (ORDER BY event_id DESC) <= 3")
+def head_tail(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id")
+    return frame.head(events, ["event_id"], 4).withColumn("first", F.lit(True)).union(frame.tail(events, ["event_id"], 3).withColumn("first", F.lit(False)))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * l_tax AS \"C1\", greatest(l_quantity, l_discount) AS \"C2\" FROM lineitem")
+def each_row(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return groups.each_row(li, lambda q, t, d: [q * t, F.greatest(q, d)], ["l_quantity", "l_tax", "l_discount"]).select("l_orderkey", "l_linenumber", "C1", "C2")
+
+
+@query(
+    """WITH p AS (SELECT l_returnflag AS a, CASE WHEN l_quantity > 40 THEN 'A' WHEN l_quantity > 15 THEN 'N' ELSE 'R' END AS p FROM lineitem), k AS (SELECT unnest(['A', 'N', 'R']) AS class),
+    m AS (SELECT class, count(*) FILTER (WHERE a = class) AS rows, count(*) FILTER (WHERE p = class) AS said, count(*) FILTER (WHERE a = class AND p = class) AS hits FROM p, k GROUP BY class)
+    SELECT class, rows, round(1 - hits / rows, 8) AS error, round(hits / rows, 8) AS recall, round(hits / said, 8) AS precision, round(2 * hits / (rows + said), 8) AS f1 FROM m"""
+)
+def class_measures(spark, sf_dir):
+    q = c("l_quantity")
+    li = read(spark, sf_dir, "lineitem").select("l_returnflag", F.when(q > 40, "A").when(q > 15, "N").otherwise("R").alias("p"))
+    made = metrics.class_measures(metrics.confusion_matrix(li, "l_returnflag", "p"))
+    return made.select("class", c("rows").cast("long").alias("rows"), *(F.round(x, 8).alias(x) for x in ("error", "recall", "precision", "f1")))
+
+
+@query("SELECT unnest([0, 1])::INT AS pc, unnest([round(sqrt(1 + abs(corr(l_quantity, l_extendedprice))), 6), round(sqrt(1 - abs(corr(l_quantity, l_extendedprice))), 6)]) AS sdev FROM lineitem")
+def pca_pair(spark, sf_dir):
+    m = models.pca(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(m.sdev)], "pc int, sdev double")
+
+
+@query("SELECT 'glm' AS model, true AS same UNION ALL SELECT 'gbm', true")
+def model_export(spark, sf_dir):
+    """Saved models and exported SQL give what the models give."""
+    li = read(spark, sf_dir, "lineitem")
+    m = models.glm(li, "l_extendedprice", ["l_quantity", "l_tax"], standardize=True)
+    again = models.load_model(models.save_model(m))
+    far = again.predict(li).agg(F.max(F.abs(c("predict") - F.expr(models.export_sql(m))))).first()[0]
+    trees, _ = models.tree_model(li, "l_extendedprice", ["l_quantity", "l_tax"], "gbm", False, ntrees=3, depth=3)
+    off = models.predict(trees, li, ["l_quantity", "l_tax"]).agg(F.max(F.abs(c("predict") - F.expr(models.export_sql(trees, ["l_quantity", "l_tax"]))))).first()[0]
+    return spark.createDataFrame([("glm", far < 1e-6), ("gbm", off < 1e-6)], "model string, same boolean")
+
+
+@query()
+def multinomial_gbm(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
+    return models.multinomial_boosting(li, "l_returnflag", ["l_quantity", "l_discount"], ntrees=2, depth=2).predict(li).groupBy("l_returnflag", "predict").count()
+
+
+@query()
+def forest_oob(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (c("o_orderstatus") == "F").cast("double").alias("y"), "o_totalprice", c("o_custkey").cast("double").alias("k"))
+    _, voted = models.forest_out_of_bag(o, "y", ["o_totalprice", "k"], ["o_orderkey"], ntrees=5, depth=4)
+    return voted.groupBy("y", "oob").count()
+
+
 # -- extensions: not part of the R-like surface, native here --------------------------------------------------------
 
 

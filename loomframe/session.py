@@ -34,3 +34,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: what reads it later costs no recomputation when an executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def timezone(spark: SparkSession, name: str | None = None) -> str:
+    """The zone in which times are read and shown; a name sets it first."""
+    if name is not None:
+        if name not in timezones(spark):
+            raise ValueError(f"unknown time zone {name}")
+        spark.conf.set("spark.sql.session.timeZone", name)
+    return spark.conf.get("spark.sql.session.timeZone")
+
+
+def timezones(spark: SparkSession) -> list[str]:
+    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+
+
+def delete_folder(spark: SparkSession, path: str, within: str) -> bool:
+    """Deletes a folder of any Hadoop file system, if it lies under ``within``; whether it was there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, root = hadoop(path), hadoop(within)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    inner, outer = (files.makeQualified(p).toUri().normalize().toString().rstrip("/") for p in (target, root))
+    if not inner.startswith(f"{outer}/"):
+        raise ValueError(f"{path} is not under {within}")
+    return files.delete(target, True)
