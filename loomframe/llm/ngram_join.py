@@ -41,8 +41,12 @@ from .components import connected
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Words of the sketches that go with long lists, at most: 1024 to 4096 bits, by the document's size.
 FOLDS = (16, 32, 64)
+#: Pairs whose sketches are compared at a time.
+PAIRS = 1 << 14
+#: Hashes of words that a task keeps (some 30 MB).
+MOST_WORDS = 200_000
 #: Bytes of text that are shingled at a time.
-SLICE = 6 << 20
+SLICE = 3 << 20
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -68,7 +72,7 @@ class Shingler:
         self.width, self.words = width, _Words()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > 1_000_000:
+        if len(self.words) > MOST_WORDS:
             self.words.clear()
         words: list[bytes] = []
         ends = []
@@ -389,6 +393,15 @@ def _some(p: np.ndarray, q: np.ndarray, rep: np.ndarray, part: np.ndarray) -> np
     return np.unique(np.concatenate([first(np.lexsort((rep[q], part[q], p)), 1), first(np.lexsort((mixed, p)), 2)]))
 
 
+def alike(p: np.ndarray, q: np.ndarray, n: np.ndarray, wide: np.ndarray, bits: dict[int, np.ndarray], t: int) -> np.ndarray:
+    """Which pairs their sizes and sketches do not rule out."""
+    apart = np.zeros(len(p), dtype=np.int64)
+    for w, b in bits.items():
+        own = np.minimum(wide[p], wide[q]) == w
+        apart[own] = np.bitwise_count(b[p[own]] ^ b[q[own]]).sum(axis=1, dtype=np.int64)
+    return apart * (100 + t) <= (100 - t) * (n[p] + n[q])
+
+
 def _apart(members: DataFrame, sets: DataFrame, parts: DataFrame, t: int, block: int, some: bool) -> DataFrame:
     """Pairs of different components in long lists that sizes and sketches do not rule out.
 
@@ -422,11 +435,7 @@ def _apart(members: DataFrame, sets: DataFrame, parts: DataFrame, t: int, block:
                     good &= ~also[others][None] | (rep[x][:, None] < rep[others][None])  # where both ask, once
                     p, q = np.nonzero(good)
                     p, q = x[p], others[q]
-                    apart = np.zeros(len(p), dtype=np.int64)
-                    for w, b in bits.items():
-                        own = np.minimum(wide[p], wide[q]) == w
-                        apart[own] = np.bitwise_count(b[p[own]] ^ b[q[own]]).sum(axis=1, dtype=np.int64)
-                    near = apart * (100 + t) <= (100 - t) * (n[p] + n[q])
+                    near = np.concatenate([np.zeros(0, bool), *(alike(p[k : k + PAIRS], q[k : k + PAIRS], n, wide, bits, t) for k in range(0, len(p), PAIRS))])
                     p, q = p[near], q[near]
                     if some and len(p):
                         chosen = _some(p, q, rep, part)
