@@ -35,34 +35,57 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9\x01])[0-9][0-9\x01]{11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: High-recall proposals for the kinds that the trees decide.
+#: High-recall generators; what they propose overlaps (a value after a sign of assignment is a long token as well, a row of
+#: digits a telephone or security number), and the trees decide on each proposal.
 PROPOSALS = {
+    "value": r"(?<=[=:][\x20\"']{0,3})(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{8,}+",
+    "digits": r"(?<![A-Za-z0-9.+(-])[(]?[0-9][0-9()\x20.-]{7,17}[0-9](?![A-Za-z0-9.-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
-HINTS = {"secret": "token|key|secret|passw|auth|credential", "tel": "phone|call|tel|fax|mobile|cell", "account": "iban|account|bank", "ssn": "ssn|social|security"}
+#: The kinds that proposals of these generators are given.
+NAMED = {"value": "secret", "digits": "tel"}
+HINTS = {"value": "token|key|secret|passw|auth|credential", "digits": "phone|call|tel|fax|mobile|cell", "secret": "token|key|secret|passw|auth|credential", "tel": "phone|call|tel|fax|mobile|cell", "account": "iban|account|bank", "ssn": "ssn|social|security"}
 FEATURES = ["chars", "digits", "upper", "lower", "distinct", "switches", "hint", "assigned", "kind"]
 WINDOW = 24
 
 
+#: Matches that are placed together; the stretches' own places follow from their sums, so long texts cost no square.
+STRETCH = 64
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, end, kind, piece>> of a pattern's matches, leftmost and non-overlapping."""
     pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     zipped = F.zip_with(pieces, F.slice(gaps, F.lit(1), F.size(pieces)), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("n")))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,piece:string>>")
+    zero, none = F.lit(0).cast("long"), F.array()
     start = lambda acc, x: acc["at"] + x["g"]
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("piece")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def placed(stretch: Column) -> Column:
+        """(length, spans from its begin) of some matches and the text before each."""
+        return F.aggregate(
+            stretch,
+            F.struct(zero.alias("at"), _none().alias("out")),
+            lambda acc, x: F.struct(
+                (start(acc, x) + x["n"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("piece")))).alias("out"),
+            ),
+        )
+
+    def whole(z: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / STRETCH).cast("int")), lambda k: placed(F.slice(z, k * STRETCH + 1, F.lit(STRETCH))))
+        return F.aggregate(
+            stretches,
+            F.struct(zero.alias("at"), none.cast("array<array<struct<start:bigint,end:bigint,kind:string,piece:string>>>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(x["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["kind"].alias("kind"), s["piece"].alias("piece"))))).alias("out")),
+            lambda acc: F.flatten(acc["out"]),
+        )
+
+    # in an array of one, so that the matches are computed once and then referred to
+    return F.transform(F.array(zipped), lambda z: F.when(F.size(z) > 0, whole(z)).otherwise(_none()))[0]
 
 
 def _none() -> Column:
@@ -128,9 +151,21 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, int, int, str, int]]:
     word = lambda: pick(low, rng.randint(2, 9))
     out = []
     for i in range(n):
-        kind, yes = list(PROPOSALS)[i % 4], rng.random() < 0.5
+        kind, yes = list(PROPOSALS)[i % len(PROPOSALS)], rng.random() < 0.5
         lead = f"{word()} {word()} "
-        if kind == "secret":
+        if kind == "value":
+            if yes:
+                piece = pick(low + dig + up, rng.randint(10, 40)) if rng.random() < 0.5 else pick("0123456789abcdef", rng.choice([16, 32, 40]))
+                piece = piece[:3] + "7q" + piece[5:]
+                lead += rng.choice(["token", "api key", "secret", "password", "auth"]) + rng.choice([" = \"", ": ", "=", " = "])
+            else:
+                piece = rng.choice([lambda: pick(low, rng.randint(8, 14)), lambda: pick(dig, rng.randint(8, 12)), lambda: word() + "-" + word() + "-" + word() + "-x", lambda: pick(low, 9).upper(), lambda: pick(low + dig + up, rng.randint(10, 20))])()
+                lead += rng.choice(["note", "see", "size", "width", "title"]) + rng.choice([": ", " = ", "="])
+        elif kind == "digits":
+            form = rng.choice(["ddd ddd dddd", "dd dd dd dd dd", "dddd dddd", "(dd) dddd dddd", "ddddd dddddd", "ddd-dddd-dddd"]) if yes or rng.random() < 0.5 else rng.choice(["dddd-dd-dd", "dddd.dd.dd", "d ddd ddd ddd", "dddddddddddddddd", "dddd dddd dddd dddd"])
+            piece = "".join(rng.choice(dig) if c == "d" else c for c in form)
+            lead += rng.choice(["phone: ", "call ", "tel. ", "mobile ", "fax "]) if yes else rng.choice(["order ", "", "sum of ", "part no. ", "on "])
+        elif kind == "secret":
             if yes:
                 piece = rng.choice([lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: pick("0123456789ABCDEF", rng.choice([32, 40])), lambda: pick(low + up + dig, rng.randint(20, 48)), lambda: "sk-" + pick(low + dig + up, 32)])()
                 lead += rng.choice(["token = \"", "key: ", "api_key=", "secret: \"", "password=", "", ""])
@@ -156,14 +191,14 @@ class Chooser:
         self.forest, self.cuts = forest, cuts
 
     @staticmethod
-    def fit(spark: SparkSession, n_train: int = 1600, precision: float = 0.97) -> Chooser:
+    def fit(spark: SparkSession, n_train: int = 2400, precision: float = 0.97) -> Chooser:
         rows = json.dumps([dict(zip(("t", "start", "end", "kind", "y"), r, strict=True)) for r in examples(n_train)])
         made = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<t:string,start:bigint,`end`:bigint,kind:string,y:int>>")).alias("r")).select("r.*")
         span = F.struct("start", "end", "kind", F.expr("substring(t, int(start) + 1, int(end - start))").alias("piece"))
         data = made.select("kind", "y", F.array(*features(F.col("t"), span)).alias("x")).collect()
         x, y, kind = np.array([r["x"] for r in data]), np.array([r["y"] for r in data], dtype=float), np.array([r["kind"] for r in data])
-        held = np.arange(len(y)) // 4 % 4 == 3
-        forest = boosting.fit(x[~held], y[~held], n_trees=24, depth=3, rate=0.3, names=FEATURES)
+        held = np.arange(len(y)) // len(PROPOSALS) % 4 == 3
+        forest = boosting.fit(x[~held], y[~held], n_trees=32, depth=3, rate=0.3, names=FEATURES)
         raw, cuts = forest.raw(x), {}
         for k in PROPOSALS:  # the lowest threshold that is precise enough on what was held out
             own = held & (kind == k)
@@ -211,7 +246,14 @@ def _found(rows: DataFrame, chooser: Chooser) -> DataFrame:
     rows = rows.withColumn("_digits", text.rlike("[0-9]"))
     rows = rows.withColumn("_base", base_spans(text)).withColumn("_more", proposals(text))
     rows = rows.withColumn("_more", F.when(F.size("_more") > 0, F.filter("_more", lambda s: chooser.keeps(text, s))).otherwise(F.col("_more")))
-    return rows.withColumn("base", _ranked(F.col("_base"))).withColumn("spans", _ranked(F.concat("_base", "_more")))
+    return rows.withColumn("base", _ranked(F.col("_base"))).withColumn("spans", _ranked(F.concat("_base", F.array_distinct(F.transform("_more", _named)))))
+
+
+def _named(span: Column) -> Column:
+    kind = span["kind"]
+    for generator, name in NAMED.items():
+        kind = F.when(span["kind"] == generator, name).otherwise(kind)
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), kind.alias("kind"), span["piece"].alias("piece"))
 
 
 def redact(docs: DataFrame, chooser: Chooser | None = None, *, text_col="text", marks="<{}>") -> DataFrame:

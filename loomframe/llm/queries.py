@@ -29,7 +29,7 @@ def op3_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     n = [count(kind).alias(f"n_{kind}") for kind in BASE]
-    return found.select(F.col("_id").alias("doc_id"), *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(F.col("_id").alias("doc_id"), *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
