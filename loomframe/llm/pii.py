@@ -47,7 +47,9 @@ PROPOSALS = {
 }
 #: The kinds that proposals of these generators are given.
 NAMED = {"value": "secret", "digits": "tel"}
-HINTS = {"value": "token|key|secret|passw|auth|credential", "digits": "phone|call|tel|fax|mobile|cell", "secret": "token|key|secret|passw|auth|credential", "tel": "phone|call|tel|fax|mobile|cell", "account": "iban|account|bank", "ssn": "ssn|social|security"}
+_CALL = r"\b(?:phone|call|tel|fax|mobile|cell)\b"
+_KEY = "token|key|secret|passw|auth|credential"
+HINTS = {"value": _KEY, "digits": _CALL, "secret": _KEY, "tel": _CALL, "account": r"\b(?:iban|account|bank)\b", "ssn": r"\b(?:ssn|social|security)\b"}
 FEATURES = ["chars", "digits", "upper", "lower", "distinct", "switches", "hint", "assigned", "kind"]
 WINDOW = 24
 
