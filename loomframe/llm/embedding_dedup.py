@@ -66,12 +66,18 @@ class Quantiser:
     def probes(self, x: np.ndarray, r: float) -> list[np.ndarray]:
         """The lists that can hold a vector within r of each row."""
         d = self.distances(x)
-        out = []
-        for row in d:
-            beyond = (row[:, None] - row[None, :]) / (2 * self.between)
-            np.fill_diagonal(beyond, -1)
-            out.append(np.flatnonzero(beyond.max(1) <= r + SLACK))
-        return out
+        own = d.argmin(1)
+        # the plane to the nearest centre rules out most lists, the planes to all others some of the rest
+        near = (d - d[np.arange(len(d)), own][:, None]) / (2 * self.between[own])
+        near[np.arange(len(d)), own] = -1
+        row, at = np.nonzero(near <= r + SLACK)
+        keep = np.zeros(len(row), dtype=bool)
+        for low in range(0, len(row), 4096):
+            i, c = row[low : low + 4096], at[low : low + 4096]
+            beyond = (d[i, c][:, None] - d[i]) / (2 * self.between[c])
+            beyond[np.arange(len(c)), c] = -1
+            keep[low : low + 4096] = beyond.max(1) <= r + SLACK
+        return np.split(at[keep], np.cumsum(np.bincount(row[keep], minlength=len(x)))[:-1])
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the distance between each row and what its code stands for."""
