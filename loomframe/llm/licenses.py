@@ -2,8 +2,8 @@
 
 Template markup: plain words are mandatory; ``<<optional>> ... <</optional>>`` may be left out as a whole (regions
 nest); ``<<var min max>>`` stands for min to max words of any kind.  A text is accepted where all mandatory wording
-follows in order with nothing between but what the regions allow.  Matching is one narrow pass over Arrow batches and
-a document without a template's longest mandatory run is never stepped through that template's automaton.
+follows in order with nothing between but what the regions allow.  Matching is one narrow pass over Arrow batches, and
+a document that lacks a piece of a template's mandatory wording is never stepped through that template's automaton.
 
 Words: A-Z in lower case, then runs of characters other than ASCII punctuation, blanks and control characters.
 
@@ -51,19 +51,41 @@ TEMPLATES = {
     "isc": ["permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted"],
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license v <<optional>><<var 0 1>><</optional>> 2 0"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
+    # whole texts, under labels of their own
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var 1 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ],
+    "isc-text": [
+        "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var 1 12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 1 12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
+    "bsd-text": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<optional>><<optional>>3<</optional>> neither the name of <<var 1 12>> nor the names of <<optional>>its<</optional>> <<optional>>his<</optional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission<</optional>> "
+        "this software is provided by <<var 1 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 1 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+    ],
     "reserved": ["<<optional>>copyright <<var 0 8>><</optional>> all rights reserved"],
 }
 
 
+#: Mandatory wording is looked up in pieces of so many words.
+PIECE = 8
+
+
 @dataclass(frozen=True)
 class Automaton:
-    """States 0..final; ``edges[s]`` are (word or None for any, target); ``skips[s]`` are moves without a word."""
+    """States 0..final; ``edges[s]`` are (word or None for any, target); ``skips[s]`` are moves without a word; ``pieces``: the
+    mandatory wording."""
 
     edges: tuple
     skips: tuple
     final: int
-    anchor: str
-    mandatory: int
+    pieces: tuple
 
     def closed(self, states: set[int]) -> set[int]:
         todo, seen = list(states), set(states)
@@ -131,7 +153,8 @@ def compile_template(template: str) -> Automaton:
         raise ValueError("an optional region does not end")
     if not mandatory:
         raise ValueError("a template needs mandatory words")
-    return Automaton(tuple(map(tuple, edges)), tuple(map(tuple, skips)), len(edges) - 1, " ".join(max(runs, key=len)), mandatory)
+    pieces = tuple(" ".join(r[k : k + PIECE]) for r in runs for k in range(0, len(r), PIECE))
+    return Automaton(tuple(map(tuple, edges)), tuple(map(tuple, skips)), len(edges) - 1, pieces)
 
 
 def words_of(text: str) -> list[str]:
@@ -150,13 +173,15 @@ def starts_of(joined: str, phrase: str) -> list[int]:
 
 
 def scan(words: list[str], templates: dict[str, list[str]], joined: str | None = None) -> tuple[list[tuple[str, int, int]], float]:
-    """Accepted (label, first word, end word), and the largest share of a template's wording that was met."""
+    """Accepted (label, first word, end word), and the largest share of a template's mandatory words whose pieces stand there."""
     joined = f" {' '.join(words)} " if joined is None else joined
     found, score = [], 0.0
     for label, group in templates.items():
         for template in group:
             automaton = compile_template(template)
-            if f" {automaton.anchor} " not in joined:
+            there = [len(p.split()) for p in automaton.pieces if f" {p} " in joined]
+            if len(there) < len(automaton.pieces):
+                score = max(score, sum(there) / sum(len(p.split()) for p in automaton.pieces))
                 continue
             firsts = {w for s in automaton.closed({0}) for w, _ in automaton.edges[s]}
             end = -1
@@ -164,7 +189,7 @@ def scan(words: list[str], templates: dict[str, list[str]], joined: str | None =
                 if at < end:
                     continue
                 stop, far = automaton.run(words, at)
-                score = max(score, 1.0 if stop >= 0 else far / automaton.final)
+                score = max(score, 1.0 if stop >= 0 else far / (automaton.final + 1))
                 if stop >= 0:
                     found.append((label, at, stop))
                     end = stop
@@ -177,7 +202,7 @@ def scan_licenses(docs: DataFrame, *, id_col="doc_id", text_col="text", phrases=
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(span)), ("spans", pa.list_(span)), ("score", pa.float64())])
     #: A text without any of these cannot hold a phrase or be accepted by a template.
-    rare = sorted({max(p.split(), key=len) for p in phrases} | {max(compile_template(t).anchor.split(), key=len) for g in templates.values() for t in g})
+    rare = sorted({max(p.split(), key=len) for p in phrases} | {max(p.split(), key=len) for g in templates.values() for t in g for p in compile_template(t).pieces if len(p) > 6})
     trigger = re.compile("|".join(map(re.escape, rare)))
 
     def run(batches):

@@ -183,6 +183,12 @@ def test_licenses(spark, docs, texts):
         want = brute.licenses(text)
         starts = [p.start for p in r.places]
         assert (min(starts, default=None), max(starts, default=None)) == want[2:4]
+    whole = licenses.TEMPLATES["mit-text"][0].replace("<<optional>>including the next paragraph<</optional>> ", "").replace("<<var 1 12>>", "the authors or copyright holders")
+    words = licenses.words_of(f"MIT License\n\nCopyright (c) 2020 A B\n\n{whole.upper()}.")
+    assert {x[0] for x in licenses.scan(words, licenses.TEMPLATES)[0]} == {"mit", "mit-text"}
+    changed = ["every" if w == "substantial" else w for w in words]
+    found, score = licenses.scan(changed, {"mit-text": licenses.TEMPLATES["mit-text"]})
+    assert not found and 0.9 < score < 1
     with pytest.raises(ValueError):
         licenses.compile_template("<<optional>>a<</optional>>")
     a = licenses.compile_template("a <<optional>>b <<var 1 2>><</optional>> c")
