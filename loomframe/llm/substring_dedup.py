@@ -41,7 +41,7 @@ UNROOT = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 ROOTS = (np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64)))
 VALUES = scramble(np.arange(1, 257, dtype=np.uint64))
 #: Bytes of text that are anchored at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 RECORD = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("low", "<u4"), ("len", "u1"), ("off", "u1")])
 #: To the next sample position from each residue.
 SHIFT = np.array([min((c - r) % V for c in COVER) for r in range(V)])
