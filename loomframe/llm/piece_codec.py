@@ -196,11 +196,18 @@ def vocabulary(model_file: str | None = None) -> Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of codes (below 2**15; 0 past the end) sorted by their first ``depth`` codes, by doubling ranks."""
+    """Suffixes of codes (not negative; 0 past the end) sorted by their first ``depth`` codes, by doubling ranks.
+
+    The first ranks are of as many codes as fit a key, which are many where a text has few different ones.
+    """
     n = len(codes)
-    padded = np.concatenate([codes.astype(np.int64), np.zeros(4, dtype=np.int64)])
-    key = padded[:n] << 45 | padded[1 : n + 1] << 30 | padded[2 : n + 2] << 15 | padded[3 : n + 3]
-    width = 4
+    seen = np.unique(codes)
+    bits = max(1, len(seen).bit_length())
+    width = min(depth, 62 // bits)
+    padded = np.concatenate([np.searchsorted(seen, codes) + (seen[:1] > 0), np.zeros(width, dtype=np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(width):
+        key = key << bits | padded[k : k + n]
     while width < depth:
         _, rank = np.unique(key, return_inverse=True)
         rank = rank.astype(np.int64) + 1
@@ -295,8 +302,9 @@ class Encoder:
         return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def learn(self, units: set[str]) -> None:
-        plain, split = [], {}
-        for u in units:
+        odd = {u for u in units if len(u) > 48 or u[1:2] == SIGN}
+        plain, split = list(units - odd), {}
+        for u in odd:
             if u.startswith(SIGN * 2):
                 made, ids = self.v.merge(u)[0], []
                 for i in made:
@@ -308,14 +316,11 @@ class Encoder:
                 plain.append(u)
         plain += sorted({p for parts in split.values() for p in parts} - self.seen.keys() - set(plain))
         # one block of text at a time bounds the arrays
-        start = 0
-        while start < len(plain):
-            stop, chars = start, 0
-            while stop < len(plain) and (stop == start or chars < BLOCK):
-                chars += len(plain[stop]) + 1
-                stop += 1
-            self.seen.update(zip(plain[start:stop], encode_units(plain[start:stop], self.v), strict=True))
-            start = stop
+        block = np.cumsum(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)) + 1) // BLOCK
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(plain)]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            if stop > start:
+                self.seen.update(zip(plain[start:stop], encode_units(plain[start:stop], self.v), strict=True))
         for u, parts in split.items():
             self.seen[u] = b"".join(self.seen[p] for p in parts)
 
