@@ -117,7 +117,7 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vec_col="embedding",
     sample = np.array([unit(np.array(r["_v"]), dim) for r in sorted(chosen, key=lambda r: r["_at"])]).reshape(-1, dim)
     if not len(sample):
         sample = np.array([unit(np.array(groups.select("_v").first()[0]), dim)])
-    quantiser = Quantiser(sample, int(math.sqrt(n) / 4), n_sub, n_codes)
+    quantiser = Quantiser(sample, int(math.sqrt(n) / 12), n_sub, n_codes)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def place(batches):
